@@ -11,9 +11,12 @@ shingles; a table's key joins one hash of either collection, so 2 m R minhashes
    are made distinct and confirmed on full sets of those documents alone.
 4. Connected components over confirmed links, by neighbours' labels and pointer jumping.
 5. Keys with classes of two or more components are taken up again: `ROUNDS` times with another
-   class of another component in the middle, and then all pairs across components in a key that
-   are not yet compared. Links inside a component are needless for its members; no link between
-   components is left out, so the result is that of comparing every pair that shares a key.
+   class of another component in the middle, and then by an exact prefix filter over all classes
+   still under such keys. Sets that are alike share one of their rarest shingles (as many as a set may
+   lack, and one more), so only pairs across components with a common shingle there are compared,
+   not all pairs of a key: copies edited in many places have nothing but shingles of their own
+   there. Links inside a component are needless for its members; no link between components of
+   classes that share a key is left out.
 
 Defined cases: null or empty text: empty set, linked with nothing; fewer words than a shingle: the
 whole sequence is the one shingle; equal rows are one class; rows without doc_id are linked but give
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._work import Workspace, read
@@ -116,6 +119,13 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(rows, pa.binary())], ["node", "shingles"])
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            values = np.frombuffer(raw.as_py(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node, np.int64)), pa.array(values)], ["node", "shingle"])
+
+
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         last, left = None, None
@@ -165,6 +175,17 @@ class Links:
         self.work.drop(f"sets-{name}")
         return out
 
+    def prefixes(self, nodes: DataFrame) -> DataFrame:
+        """(node, n, label, shingle): the shingles one of which two alike sets share, but for those no other set has."""
+        known = self.classes.select("node", "least", "n", "h1", "h2").join(nodes.select("node"), "node", "left_semi")
+        sets = self.sets(known).mapInArrow(_shingles, "node long, shingle long")
+        rows = self.work.save(sets.join(nodes, "node"), "open-shingles")
+        shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+        own = Window.partitionBy("node")
+        length = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1  # what a set may lack, and one
+        rows = rows.join(shared, "shingle").withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "shingle")))
+        return rows.filter(F.col("rank") <= length - F.col("alone")).select("node", "n", "label", "shingle")
+
     def components(self, links: DataFrame, name: str) -> DataFrame:
         """(node, label): the least node that can be reached; only nodes with links."""
         edges = self.work.save(links.union(links.select("b", "a")).toDF("u", "v").distinct(), f"edges-{name}")
@@ -206,8 +227,11 @@ class Links:
                 other = rows.filter("label <> low").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_h"), "node", "n", "label")).alias("hub"))
                 cross = rows.join(other, "key").select(F.col("node"), "n", "label", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.label").alias("hub_label"))
             else:
-                right = rows.select("key", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-                cross = rows.join(right, "key").filter(F.col("node") > F.col("hub"))
+                rare = self.prefixes(rows.select("node", "n", "label").distinct())
+                mixed = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
+                rare = self.work.save(rare.join(mixed, "shingle"), "prefixes")
+                right = rare.select("shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+                cross = rare.join(right, "shingle").filter(F.col("node") > F.col("hub"))
             cross = cross.filter((F.col("label") != F.col("hub_label")) & self.near_size("n", "hub_n"))
             low = F.col("node") < F.col("hub")
             cross = cross.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"), F.when(low, F.col("hub_n")).otherwise(F.col("n")).alias("na"), F.when(low, F.col("n")).otherwise(F.col("hub_n")).alias("nb")).distinct()
