@@ -1,5 +1,5 @@
 """Registered queries: name to (spark, sf_dir) -> DataFrame, and name to DuckDB SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = "top_k"
+from .queries import FLAGSHIP, QUERIES, SQL
+
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
