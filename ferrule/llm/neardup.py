@@ -14,8 +14,8 @@ shingles; a table's key joins one hash of either collection, so 2 m R minhashes
    class of another component in the middle, and then by an exact prefix filter over all classes
    still under such keys. Sets that are alike share one of their rarest shingles (as many as a set may
    lack, and one more), so only pairs across components with a common shingle there are compared,
-   not all pairs of a key: copies edited in many places have nothing but shingles of their own
-   there. Links inside a component are needless for its members; no link between components of
+   not all pairs of a key, and only where as many shingles as alike sets share can still follow in
+   both: copies edited in many places have nothing but shingles of their own there. Links inside a component are needless for its members; no link between components of
    classes that share a key is left out.
 
 Defined cases: null or empty text: empty set, linked with nothing; fewer words than a shingle: the
@@ -176,7 +176,7 @@ class Links:
         return out
 
     def prefixes(self, nodes: DataFrame) -> DataFrame:
-        """(node, n, label, shingle): the shingles one of which two alike sets share, but for those no other set has."""
+        """(node, n, label, shingle, place): the shingles one of which two alike sets share, but for those no other set has."""
         known = self.classes.select("node", "least", "n", "h1", "h2").join(nodes.select("node"), "node", "left_semi")
         sets = self.sets(known).mapInArrow(_shingles, "node long, shingle long")
         rows = self.work.save(sets.join(nodes, "node"), "open-shingles")
@@ -184,7 +184,7 @@ class Links:
         own = Window.partitionBy("node")
         length = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1  # what a set may lack, and one
         rows = rows.join(shared, "shingle").withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "shingle")))
-        return rows.filter(F.col("rank") <= length - F.col("alone")).select("node", "n", "label", "shingle")
+        return rows.filter(F.col("rank") <= length - F.col("alone")).select("node", "n", "label", "shingle", (F.col("rank") + F.col("alone")).alias("place"))
 
     def components(self, links: DataFrame, name: str) -> DataFrame:
         """(node, label): the least node that can be reached; only nodes with links."""
@@ -230,8 +230,10 @@ class Links:
                 rare = self.prefixes(rows.select("node", "n", "label").distinct())
                 mixed = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
                 rare = self.work.save(rare.join(mixed, "shingle"), "prefixes")
-                right = rare.select("shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
-                cross = rare.join(right, "shingle").filter(F.col("node") > F.col("hub"))
+                right = rare.select("shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("place").alias("hub_place"))
+                most = 1 + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))  # shingles from here on, in the common order
+                enough = most * (100 + self.percent) >= self.percent * (F.col("n") + F.col("hub_n"))
+                cross = rare.join(right, "shingle").filter((F.col("node") > F.col("hub")) & enough)
             cross = cross.filter((F.col("label") != F.col("hub_label")) & self.near_size("n", "hub_n"))
             low = F.col("node") < F.col("hub")
             cross = cross.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"), F.when(low, F.col("hub_n")).otherwise(F.col("n")).alias("na"), F.when(low, F.col("n")).otherwise(F.col("hub_n")).alias("nb")).distinct()
