@@ -35,7 +35,7 @@ from ._work import Workspace, read
 from ._words import U64, mix
 
 SHARD_TOKENS = 1 << 18
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 END_ID = 1
 SHARDS = "pid int, seq int, first_id long, last_id long, start long, n_docs int, n_tokens long, width int, keys binary, payload binary, index binary"
 ROWS = "doc_id long, pid int, local_start long, n_tokens long, ids_crc32 long"
@@ -104,8 +104,13 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.lowers = '"Lowercase"' in tokenizer_json.split('"pre_tokenizer"')[0]
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
+    def split(self, text: bytes) -> list[bytes]:
+        """Words; A-Z lowered where the tokenizer lowers anyway and no special token can arise."""
+        return (text.lower() if self.lowers and b"<|" not in text else text).split()
+
     def learn(self, texts: list[list[bytes]]) -> None:
         need = set().union(*texts).difference(self)
         if len(self) + len(need) > CACHED_WORDS:
@@ -151,7 +156,7 @@ def _packed(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: int,
     for batch in batches:
         for low in range(0, batch.num_rows, 256):
             part = batch.slice(low, 256)
-            texts = [(t or b"").split() for t in part.column(1).to_pylist()]
+            texts = [coder.split(t or b"") for t in part.column(1).to_pylist()]
             coder.learn(texts)
             for doc, words in zip(part.column(0).to_pylist(), texts, strict=True):
                 data = b"".join(map(coder.__getitem__, words)) + tail
