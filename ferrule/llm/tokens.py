@@ -13,7 +13,9 @@ key that isn't there is told by its fingerprint, except once in 2**32 times.
 
 A word (a run without ASCII white space) is encoded once per worker and kept in a bounded table;
 the tokenizer neither joins nor splits across white space, so a text's ids are those of its words in
-order. Tests compare both over whole texts.
+order. New words go to the tokenizer many at a time with a control character between them, and the
+marks at a word's end are looked up apart from it where the tokenizer never joins the two. Tests
+compare with the ids of whole texts.
 
 Defined cases: null text is empty and yields the end id alone; null doc_id sorts first; rows with
 equal doc_id are keys with ordinals 0, 1, ... in the order of their text's hash and text; an empty
@@ -36,6 +38,8 @@ from ._words import U64, mix
 
 SHARD_TOKENS = 1 << 18
 CACHED_WORDS = 1_000_000
+BREAK = b"\x01"  # words that hold it are encoded one by one
+MARKS = b"!\"#$%&'()*+,-./:;=?@[]^_`{|}~"
 END_ID = 1
 SHARDS = "pid int, seq int, first_id long, last_id long, start long, n_docs int, n_tokens long, width int, keys binary, payload binary, index binary"
 ROWS = "doc_id long, pid int, local_start long, n_tokens long, ids_crc32 long"
@@ -105,8 +109,14 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.lowers = '"Lowercase"' in tokenizer_json.split('"pre_tokenizer"')[0]
+        self.classes = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in tokenizer_json  # letters, digits and marks are never in one token
+        cut = self._ids(BREAK.decode())
+        self.cut = cut[0] if len(cut) == 1 and self._ids(f"a {BREAK.decode()} b") == self._ids("a") + cut + self._ids("b") else None
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def split(self, text: bytes) -> list[bytes]:
         """Words; A-Z lowered where the tokenizer lowers anyway and no special token can arise."""
         return (text.lower() if self.lowers and b"<|" not in text else text).split()
@@ -116,11 +126,31 @@ class WordIds(dict):
         if len(self) + len(need) > CACHED_WORDS:
             self.clear()
             need = set().union(*texts)
-        words = list(need)
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.asarray(e.ids, self.kind).tobytes()
+        ends = {}
+        if self.classes:
+            for w in need:
+                stem = w.rstrip(MARKS)
+                if len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
+                    ends[w] = stem
+            need = need.difference(ends).union(ends.values(), [w[len(stem) :] for w, stem in ends.items()]).difference(self)
+        odd = [w for w in need if BREAK in w or b"<|" in w or self.cut is None]
+        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
+            self[w] = np.asarray(e.ids, self.kind).tobytes()
+        words = list(need.difference(odd))
+        for i in range(0, len(words), 512):
+            self._learn_joined(words[i : i + 512])
+        for w, stem in ends.items():
+            self[w] = self[stem] + self[w[len(stem) :]]
+
+    def _learn_joined(self, words: list[bytes]) -> None:
+        """One call for many words: `BREAK` stands between them, and its id shows where the next begins."""
+        text = (b" " + BREAK + b" ").join(words).decode("utf-8", "replace")
+        ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+        cuts, data, width = np.flatnonzero(ids == self.cut), ids.tobytes(), ids.itemsize
+        if len(cuts) != len(words) - 1:
+            raise ValueError("the tokenizer doesn't keep words apart")
+        for w, low, high in zip(words, [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)], strict=True):
+            self[w] = data[low:high]
 
 
 _CODERS: dict[int, WordIds] = {}
