@@ -101,12 +101,13 @@ def find(index: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return marks[slot] == hashes.astype(np.uint32), begin[slot].astype(np.int64), count[slot].astype(np.int64)
 
 
-class WordIds(dict):
+class WordIds:
     """Words to the bytes of their ids; emptied when it holds `CACHED_WORDS` words."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        self.known: dict[bytes, bytes] = {}  # a dict itself: sets go through all of a derived class's keys
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.lowers = '"Lowercase"' in tokenizer_json.split('"pre_tokenizer"')[0]
         self.classes = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in tokenizer_json  # letters, digits and marks are never in one token
@@ -121,26 +122,29 @@ class WordIds(dict):
         """Words; A-Z lowered where the tokenizer lowers anyway and no special token can arise."""
         return (text.lower() if self.lowers and b"<|" not in text else text).split()
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        need = set().union(*texts).difference(self)
-        if len(self) + len(need) > CACHED_WORDS:
-            self.clear()
-            need = set().union(*texts)
+    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+        """The ids of all words in the texts."""
+        known, words = self.known, set().union(*texts)
+        need = words.difference(known)
+        if len(known) + len(need) > CACHED_WORDS:
+            known.clear()
+            need = words
         ends = {}
         if self.classes:
             for w in need:
                 stem = w.rstrip(MARKS)
                 if len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
                     ends[w] = stem
-            need = need.difference(ends).union(ends.values(), [w[len(stem) :] for w, stem in ends.items()]).difference(self)
+            need = need.difference(ends).union(ends.values(), [w[len(stem) :] for w, stem in ends.items()]).difference(known)
         odd = [w for w in need if BREAK in w or b"<|" in w or self.cut is None]
         for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
-            self[w] = np.asarray(e.ids, self.kind).tobytes()
-        words = list(need.difference(odd))
-        for i in range(0, len(words), 512):
-            self._learn_joined(words[i : i + 512])
+            known[w] = np.asarray(e.ids, self.kind).tobytes()
+        plain = list(need.difference(odd))
+        for i in range(0, len(plain), 512):
+            self._learn_joined(plain[i : i + 512])
         for w, stem in ends.items():
-            self[w] = self[stem] + self[w[len(stem) :]]
+            known[w] = known[stem] + known[w[len(stem) :]]
+        return {w: known[w] for w in words}  # small enough for the processor's caches
 
     def _learn_joined(self, words: list[bytes]) -> None:
         """One call for many words: `BREAK` stands between them, and its id shows where the next begins."""
@@ -150,7 +154,7 @@ class WordIds(dict):
         if len(cuts) != len(words) - 1:
             raise ValueError("the tokenizer doesn't keep words apart")
         for w, low, high in zip(words, [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)], strict=True):
-            self[w] = data[low:high]
+            self.known[w] = data[low:high]
 
 
 _CODERS: dict[int, WordIds] = {}
@@ -187,9 +191,9 @@ def _packed(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: int,
         for low in range(0, batch.num_rows, 256):
             part = batch.slice(low, 256)
             texts = [coder.split(t or b"") for t in part.column(1).to_pylist()]
-            coder.learn(texts)
+            ids_of = coder.learn(texts)
             for doc, words in zip(part.column(0).to_pylist(), texts, strict=True):
-                data = b"".join(map(coder.__getitem__, words)) + tail
+                data = b"".join(map(ids_of.__getitem__, words)) + tail
                 n = len(data) // width
                 if docs and held + n > shard_tokens:
                     yield shard()

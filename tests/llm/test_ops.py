@@ -207,8 +207,8 @@ def test_words_encode_like_whole_texts():
         coder = tokens.WordIds(f.read())
     for text in ("It's  ΣΊΣΥΦΟΣ é ́x don't stop now 12,5%", "<|endoftext|> a<|startoftext|>b", "ÉCOLE\u0085x \x1c y\x0bz", "日本語 テスト 🤖!!", "ABC <|ENDOFTEXT|> ÀÉ ΑΣ IİI Straße ẞ ﬁ ǅ", "ABC ÀÉ ΑΣ IİI Straße ẞ ﬁ ǅ KELVIN K DON'T", "end. end.. 5.5. x's. é. €. a\x01b \x01 \x01. (a) ... $$$ ab### x<|. 's 's."):
         parts = coder.split(text.encode())
-        coder.learn([parts])
-        assert np.frombuffer(b"".join(coder[w] for w in parts), coder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+        ids = coder.learn([parts])
+        assert np.frombuffer(b"".join(ids[w] for w in parts), coder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000])
