@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,7 @@ from ._words import U64, mix
 
 SHARD_TOKENS = 1 << 18
 CACHED_WORDS = 1_000_000
+PART_BYTES = 8 << 20
 BREAK = b"\x01"  # words that hold it are encoded one by one
 MARKS = b"!\"#$%&'()*+,-./:;=?@[]^_`{|}~"
 END_ID = 1
@@ -131,12 +133,10 @@ class WordIds:
             need = words
         ends = {}
         if self.classes:
-            for w in need:
-                stem = w.rstrip(MARKS)
-                if len(stem) < len(w) and stem[-1:].isalnum() and b"<|" not in w:
-                    ends[w] = stem
+            ends = {w: stem for w in need if (stem := w.rstrip(MARKS)) is not w and stem[-1:].isalnum() and b"<|" not in w}
             need = need.difference(ends).union(ends.values(), [w[len(stem) :] for w, stem in ends.items()]).difference(known)
-        odd = [w for w in need if BREAK in w or b"<|" in w or self.cut is None]
+        together = b" ".join(need)
+        odd = [w for w in need if BREAK in w or b"<|" in w or self.cut is None] if BREAK in together or b"<|" in together or self.cut is None else []
         for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
             known[w] = np.asarray(e.ids, self.kind).tobytes()
         plain = list(need.difference(odd))
@@ -144,7 +144,7 @@ class WordIds:
             self._learn_joined(plain[i : i + 512])
         for w, stem in ends.items():
             known[w] = known[stem] + known[w[len(stem) :]]
-        return {w: known[w] for w in words}  # small enough for the processor's caches
+        return dict(zip(words, map(known.__getitem__, words), strict=True))  # small enough for the processor's caches
 
     def _learn_joined(self, words: list[bytes]) -> None:
         """One call for many words: `BREAK` stands between them, and its id shows where the next begins."""
@@ -168,6 +168,17 @@ def _coder(tokenizer_json: str) -> WordIds:
     return _CODERS[key]
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about `PART_BYTES` of text, a longer text alone; the more, the fewer look-ups of equal words."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < batch.num_rows:
+        limit = (ends[low - 1] if low else 0) + PART_BYTES
+        high = max(low + 1, int(np.searchsorted(ends, limit, "right")))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def _packed(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: int, shard_tokens: int) -> Iterator[pa.RecordBatch]:
     coder = _coder(tokenizer_json)
     width, tail = np.dtype(coder.kind).itemsize, np.asarray([end_id], coder.kind).tobytes()
@@ -188,8 +199,7 @@ def _packed(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: int,
 
     held = 0
     for batch in batches:
-        for low in range(0, batch.num_rows, 256):
-            part = batch.slice(low, 256)
+        for part in _parts(batch):
             texts = [coder.split(t or b"") for t in part.column(1).to_pylist()]
             ids_of = coder.learn(texts)
             for doc, words in zip(part.column(0).to_pylist(), texts, strict=True):
