@@ -126,15 +126,15 @@ class WordIds:
 
     def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
         """The ids of all words in the texts."""
-        known, words = self.known, set().union(*texts)
-        need = words.difference(known)
+        known, words, ends = self.known, set().union(*texts), {}
+        if self.classes:
+            ends = {w: stem for w in words.difference(known) if (stem := w.rstrip(MARKS)) is not w and stem[-1:].isalnum() and b"<|" not in w}
+        whole = words.difference(ends)
+        basis = whole.union(ends.values(), [w[len(stem) :] for w, stem in ends.items()])
+        need = basis.difference(known)
         if len(known) + len(need) > CACHED_WORDS:
             known.clear()
-            need = words
-        ends = {}
-        if self.classes:
-            ends = {w: stem for w in need if (stem := w.rstrip(MARKS)) is not w and stem[-1:].isalnum() and b"<|" not in w}
-            need = need.difference(ends).union(ends.values(), [w[len(stem) :] for w, stem in ends.items()]).difference(known)
+            need = basis
         together = b" ".join(need)
         odd = [w for w in need if BREAK in w or b"<|" in w or self.cut is None] if BREAK in together or b"<|" in together or self.cut is None else []
         for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
@@ -142,9 +142,9 @@ class WordIds:
         plain = list(need.difference(odd))
         for i in range(0, len(plain), 512):
             self._learn_joined(plain[i : i + 512])
-        for w, stem in ends.items():
-            known[w] = known[stem] + known[w[len(stem) :]]
-        return dict(zip(words, map(known.__getitem__, words), strict=True))  # small enough for the processor's caches
+        out = dict(zip(whole, map(known.__getitem__, whole), strict=True))  # small enough for the processor's caches
+        out.update((w, known[stem] + known[w[len(stem) :]]) for w, stem in ends.items())
+        return out
 
     def _learn_joined(self, words: list[bytes]) -> None:
         """One call for many words: `BREAK` stands between them, and its id shows where the next begins."""
