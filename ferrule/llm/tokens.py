@@ -11,11 +11,11 @@ bucket's displacement leads to a slot, and the slot holds a 32-bit fingerprint o
 and the number of ids. There are as many slots as keys. A read costs the same at any shard size; a
 key that isn't there is told by its fingerprint, except once in 2**32 times.
 
-A word (a run without ASCII white space) is encoded once per worker and kept in a bounded table;
-the tokenizer neither joins nor splits across white space, so a text's ids are those of its words in
-order. New words go to the tokenizer many at a time with a control character between them, and the
-marks at a word's end are looked up apart from it where the tokenizer never joins the two. Tests
-compare with the ids of whole texts.
+The tokenizer neither joins nor splits across white space, and where it keeps letters, digits and
+marks apart, not across a change from one to another in ASCII either. So a text's ids are those of
+such pieces in order. Array code cuts some MB of text into pieces and makes them distinct; a piece is
+encoded once per worker, many at a time with a control character between them, and kept in a bounded
+table. Tests compare with the ids of whole texts.
 
 Defined cases: null text is empty and yields the end id alone; null doc_id sorts first; rows with
 equal doc_id are keys with ordinals 0, 1, ... in the order of their text's hash and text; an empty
@@ -35,13 +35,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._work import Workspace, read
-from ._words import U64, mix
+from ._words import LOWER, SPACE, U64, mix, utf8
 
 SHARD_TOKENS = 1 << 18
-CACHED_WORDS = 1_000_000
+CACHED_PIECES = 1_000_000
 PART_BYTES = 8 << 20
 BREAK = b"\x01"  # words that hold it are encoded one by one
 MARKS = b"!\"#$%&'()*+,-./:;=?@[]^_`{|}~"
+KIND_RIGHT = np.zeros(256, np.uint8)  # ASCII letters 1, digits 2, marks 3; a piece begins where the kind changes
+KIND_RIGHT[[*range(65, 91), *range(97, 123)]] = 1
+KIND_RIGHT[48:58] = 2
+KIND_RIGHT[list(MARKS)] = 3
+KIND_LEFT = KIND_RIGHT.copy()
+KIND_LEFT[ord("'")] = 0  # 's is one token
 END_ID = 1
 SHARDS = "pid int, seq int, first_id long, last_id long, start long, n_docs int, n_tokens long, width int, keys binary, payload binary, index binary"
 ROWS = "doc_id long, pid int, local_start long, n_tokens long, ids_crc32 long"
@@ -104,57 +110,99 @@ def find(index: bytes, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class WordIds:
-    """Words to the bytes of their ids; emptied when it holds `CACHED_WORDS` words."""
+    """Pieces of words and their ids, in Arrow and numpy; emptied when it holds `CACHED_PIECES` pieces."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        self.known: dict[bytes, bytes] = {}  # a dict itself: sets go through all of a derived class's keys
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.lowers = '"Lowercase"' in tokenizer_json.split('"pre_tokenizer"')[0]
-        self.classes = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in tokenizer_json  # letters, digits and marks are never in one token
+        self.classes = r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in tokenizer_json  # letters, digits and marks are never in one token, but for 's and the like
         cut = self._ids(BREAK.decode())
         self.cut = cut[0] if len(cut) == 1 and self._ids(f"a {BREAK.decode()} b") == self._ids("a") + cut + self._ids("b") else None
         self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self._empty()
+
+    def _empty(self) -> None:
+        self.pieces, self.ids = pa.array([], pa.binary()), np.zeros(0, self.kind)
+        self.begin = self.size = np.zeros(0, np.int64)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def split(self, text: bytes) -> list[bytes]:
-        """Words; A-Z lowered where the tokenizer lowers anyway and no special token can arise."""
-        return (text.lower() if self.lowers and b"<|" not in text else text).split()
-
-    def learn(self, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-        """The ids of all words in the texts."""
-        known, words, ends = self.known, set().union(*texts), {}
+    def cuts(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes, A-Z lowered where the tokenizer lowers anyway; which are in words; which begin a piece.
+
+        Texts that may hold a special token are neither lowered nor cut within words.
+        """
+        solid = ~SPACE[raw]
+        first = solid.copy()
+        first[1:] &= ~solid[:-1]
+        edge = at[at < len(raw)]
+        first[edge] = solid[edge]
+        special = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+        texts = np.ones(len(at) - 1, bool)
+        texts[np.searchsorted(at, special, "right") - 1] = False
+        usual = np.repeat(texts, np.diff(at)) if len(special) else None
         if self.classes:
-            ends = {w: stem for w in words.difference(known) if (stem := w.rstrip(MARKS)) is not w and stem[-1:].isalnum() and b"<|" not in w}
-        whole = words.difference(ends)
-        basis = whole.union(ends.values(), [w[len(stem) :] for w, stem in ends.items()])
-        need = basis.difference(known)
-        if len(known) + len(need) > CACHED_WORDS:
-            known.clear()
-            need = basis
-        together = b" ".join(need)
-        odd = [w for w in need if BREAK in w or b"<|" in w or self.cut is None] if BREAK in together or b"<|" in together or self.cut is None else []
-        for w, e in zip(odd, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False), strict=True):
-            known[w] = np.asarray(e.ids, self.kind).tobytes()
-        plain = list(need.difference(odd))
-        for i in range(0, len(plain), 512):
-            self._learn_joined(plain[i : i + 512])
-        out = dict(zip(whole, map(known.__getitem__, whole), strict=True))  # small enough for the processor's caches
-        out.update((w, known[stem] + known[w[len(stem) :]]) for w, stem in ends.items())
+            left, right = KIND_LEFT[raw[:-1]], KIND_RIGHT[raw[1:]]
+            within = (left != right) & (left > 0) & (right > 0)
+            first[1:] |= within if usual is None else within & usual[1:]
+        if self.lowers:
+            raw = LOWER[raw] if usual is None else np.where(usual, LOWER[raw], raw)
+        return raw, solid, first
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and n+1 offsets into them."""
+        raw, at = utf8(column)
+        raw, solid, first = self.cuts(raw, at)
+        starts, data = np.flatnonzero(first), raw[solid]
+        if not len(starts):
+            return np.zeros(0, self.kind), np.zeros(len(at), np.int64)
+        edges = np.append(np.flatnonzero(first[solid]), len(data)).astype(np.int32)
+        coded = pc.dictionary_encode(pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data)]))
+        which = self.places(coded.dictionary)[coded.indices.to_numpy()]
+        n = self.size[which]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        return self.ids[np.repeat(self.begin[which] - upto[:-1], n) + np.arange(upto[-1])], upto[np.searchsorted(starts, at)]
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """Where each piece is in the table; new ones are encoded and put there."""
+        at = pc.index_in(distinct, value_set=self.pieces)
+        if len(self.pieces) + at.null_count > CACHED_PIECES:
+            self._empty()
+            at = pc.index_in(distinct, value_set=self.pieces)
+        out = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        if at.null_count:
+            new = distinct.filter(pc.is_null(at))
+            out[out < 0] = len(self.pieces) + np.arange(len(new))
+            ids = self._encoded(new.to_pylist())
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.ids.itemsize
+            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids), self.kind)))
+            self.pieces = pa.concat_arrays([self.pieces, new])
         return out
 
-    def _learn_joined(self, words: list[bytes]) -> None:
+    def _encoded(self, words: list[bytes]) -> list[bytes]:
+        """The bytes of each one's ids; what may hold `BREAK` or a special token goes to the tokenizer alone."""
+        odd = [w for w in words if self.cut is None or BREAK in w or b"<|" in w]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)]
+        known = {w: np.asarray(x, self.kind).tobytes() for w, x in zip(odd, found, strict=True)}
+        plain = [w for w in words if w not in known]
+        for i in range(0, len(plain), 512):
+            part = plain[i : i + 512]
+            known.update(zip(part, self._joined(part), strict=True))
+        return [known[w] for w in words]
+
+    def _joined(self, words: list[bytes]) -> list[bytes]:
         """One call for many words: `BREAK` stands between them, and its id shows where the next begins."""
         text = (b" " + BREAK + b" ").join(words).decode("utf-8", "replace")
         ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
         cuts, data, width = np.flatnonzero(ids == self.cut), ids.tobytes(), ids.itemsize
         if len(cuts) != len(words) - 1:
             raise ValueError("the tokenizer doesn't keep words apart")
-        for w, low, high in zip(words, [0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)], strict=True):
-            self.known[w] = data[low:high]
+        return [data[low:high] for low, high in zip([0, *((cuts + 1) * width).tolist()], [*(cuts * width).tolist(), len(data)], strict=True)]
 
 
 _CODERS: dict[int, WordIds] = {}
@@ -200,10 +248,9 @@ def _packed(batches: Iterator[pa.RecordBatch], tokenizer_json: str, end_id: int,
     held = 0
     for batch in batches:
         for part in _parts(batch):
-            texts = [coder.split(t or b"") for t in part.column(1).to_pylist()]
-            ids_of = coder.learn(texts)
-            for doc, words in zip(part.column(0).to_pylist(), texts, strict=True):
-                data = b"".join(map(ids_of.__getitem__, words)) + tail
+            found, at = coder.encode(part.column(1))
+            for doc, low, high in zip(part.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                data = found[low:high].tobytes() + tail
                 n = len(data) // width
                 if docs and held + n > shard_tokens:
                     yield shard()
@@ -221,7 +268,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
     """Encodes (doc_id, text) into shards at `path`, in ascending doc_id order."""
     with open(tokenizer_path, encoding="utf-8") as f:  # a file of fixed size beside the program
         tokenizer = docs.sparkSession.sparkContext.broadcast(f.read())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     out = rows.mapInArrow(lambda it: _packed(it, tokenizer.value, end_id, shard_tokens), SHARDS)

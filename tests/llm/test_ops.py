@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -206,9 +207,26 @@ def test_words_encode_like_whole_texts():
     with open(tokens.tokenizer_path(), encoding="utf-8") as f:
         coder = tokens.WordIds(f.read())
     for text in ("It's  ΣΊΣΥΦΟΣ é ́x don't stop now 12,5%", "<|endoftext|> a<|startoftext|>b", "ÉCOLE\u0085x \x1c y\x0bz", "日本語 テスト 🤖!!", "ABC <|ENDOFTEXT|> ÀÉ ΑΣ IİI Straße ẞ ﬁ ǅ", "ABC ÀÉ ΑΣ IİI Straße ẞ ﬁ ǅ KELVIN K DON'T", "end. end.. 5.5. x's. é. €. a\x01b \x01 \x01. (a) ... $$$ ab### x<|. 's 's."):
-        parts = coder.split(text.encode())
-        ids = coder.learn([parts])
-        assert np.frombuffer(b"".join(ids[w] for w in parts), coder.kind).tolist() == whole.encode(text, add_special_tokens=False).ids, text
+        expected = whole.encode(text, add_special_tokens=False).ids
+        ids, at = coder.encode(pa.array([text, None, text]))
+        assert at.tolist() == [0, len(expected), len(expected), 2 * len(expected)] and ids.tolist() == 2 * expected, text
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pieces_encode_like_whole_texts(seed, monkeypatch):
+    """Random runs of what the tokenizer treats apart, in batches, with a table that is emptied in between."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 60)
+    rng, whole = random.Random(seed), Tokenizer.from_file(tokens.tokenizer_path())
+    with open(tokens.tokenizer_path(), encoding="utf-8") as f:
+        coder = tokens.WordIds(f.read())
+    bits = ["a", "B", "s", "t", "ll", "'", "'", "''", "5", "20", ".", ",", "(", "<", "|", "<|", "<|endoftext|>", "\\", "~", "_", " ", " ", "\n", "\x01", "\x1c", "\u00a0", "é", "e\u0301", "\u0301", "Σ", "ß", "日", "🤖", "²", "words", "The"]
+    for _ in range(20):
+        texts = [rng.choice([None, "", "".join(rng.choices(bits, k=rng.randint(1, 30)))]) if rng.random() < 0.2 else "".join(rng.choices(bits, k=rng.randint(1, 30))) for _ in range(20)]
+        ids, at = coder.encode(pa.array(texts, pa.string()))
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == whole.encode(text or "", add_special_tokens=False).ids, repr(text)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000])
