@@ -38,6 +38,7 @@ MIN_SHARE = 0.004
 MIN_RATIO = 0.15
 CAPACITY = 30_000
 SLOT_BITS = 20
+PART_BYTES = 4 << 20  # of text held as Python strings at once
 PROBES = 3
 LEAST = 0.2
 OTHER = re.compile(r"[\W\d_]+")
@@ -46,26 +47,32 @@ LETTER = re.compile(r"[^\W\d_]")
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """By chunks of rows: low, high, feature hashes, n+1 offsets of the texts, whether a text has a letter."""
-    texts = column.to_pylist()
-    plain = [f" {OTHER.sub(' ', t.lower())} ".replace("  ", " ") if t and LETTER.search(t) else "" for t in texts]
-    has = np.array([bool(p) for p in plain], bool)
-    for low, high, raw, offsets in chunks(pa.array(plain, pa.string())):
-        words, at = hash_words(raw, offsets)
-        if len(raw) < 4:
-            yield low, high, words, at, has[low:high]
-            continue
-        b = raw.astype(U64)
-        gram = b[:-3] | b[1:-2] << U64(8) | b[2:-1] << U64(16) | b[3:] << U64(24)
-        own = (raw[1:-2] != 32) & (raw[2:-1] != 32)
-        edge = offsets[1:-1]
-        for back in (1, 2, 3):  # no gram goes over the end of its text
-            cut = edge - back
-            own[cut[(cut >= 0) & (cut < len(own))]] = False
-        where = np.flatnonzero(own)
-        owner = np.concatenate((np.searchsorted(offsets, where, "right") - 1, np.repeat(np.arange(high - low), np.diff(at))))
-        every = np.concatenate((mix(gram[where] + U64(0xA24BAED4963EE407)), words))
-        order = np.argsort(owner, kind="stable")
-        yield low, high, every[order], np.searchsorted(owner[order], np.arange(high - low + 1)), has[low:high]
+    for begin, end, _, _ in chunks(column, PART_BYTES):
+        texts = column.slice(begin, end - begin).to_pylist()
+        plain = [f" {OTHER.sub(' ', t.lower())} ".replace("  ", " ") if t and LETTER.search(t) else "" for t in texts]
+        has = np.array([bool(p) for p in plain], bool)
+        for low, high, raw, offsets in chunks(pa.array(plain, pa.string())):
+            yield begin + low, begin + high, *_hashes(raw, offsets), has[low:high]
+
+
+def _hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams and words, and n+1 offsets of the texts."""
+    words, at = hash_words(raw, offsets)
+    if len(raw) < 4:
+        return words, at
+    b = raw.astype(U64)
+    gram = b[:-3] | b[1:-2] << U64(8) | b[2:-1] << U64(16) | b[3:] << U64(24)
+    own = (raw[1:-2] != 32) & (raw[2:-1] != 32)
+    edge = offsets[1:-1]
+    for back in (1, 2, 3):  # no gram goes over the end of its text
+        cut = edge - back
+        own[cut[(cut >= 0) & (cut < len(own))]] = False
+    where = np.flatnonzero(own)
+    n = len(offsets) - 1
+    owner = np.concatenate((np.searchsorted(offsets, where, "right") - 1, np.repeat(np.arange(n), np.diff(at))))
+    every = np.concatenate((mix(gram[where] + U64(0xA24BAED4963EE407)), words))
+    order = np.argsort(owner, kind="stable")
+    return every[order], np.searchsorted(owner[order], np.arange(n + 1))
 
 
 @dataclass(frozen=True)
@@ -122,11 +129,45 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ], ["lang", "gram"])
 
 
+def _first(rows: DataFrame, sample: int, work: Workspace) -> DataFrame:
+    """The first `sample` rows (text, lang) of each language in the order of a hash of doc_id, doc_id, text.
+
+    No task orders a language: counts of 4096 parts of the hash's range, and once more of the part in
+    which the sample ends, leave 2**-24 of the rows to be put in order, equal ones as one with a count.
+    """
+    at = F.col("doc_id").cast("string")
+    rows = rows.withColumn("_u", F.shiftrightunsigned(F.xxhash64("doc_id").bitwiseXOR(F.lit(-(1 << 63))), 40))
+    slim = work.save(rows.select("lang", "_u"), "slim")
+    cuts: dict[str, tuple[int, int]] = {}  # a row for each language, as in the model: the part in which its sample ends, and what is left then
+    for shift in (12, 0):
+        near = slim
+        if cuts:
+            near = slim.join(F.broadcast(_cut_rows(slim.sparkSession, cuts)), "lang").filter(F.shiftrightunsigned("_u", 12) == F.col("_cut"))
+        elif shift == 0:  # every language fits whole
+            break
+        sums = near.groupBy("lang", F.shiftrightunsigned("_u", shift).alias("b")).agg(F.count("*").alias("n"))
+        sums = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("b")))
+        left = F.element_at(F.create_map(*[F.lit(x) for k, v in cuts.items() for x in (k, v[1])]), F.col("lang")) if cuts else F.lit(sample)
+        hit = sums.withColumn("left", left).filter((F.col("upto") - F.col("n") < F.col("left")) & (F.col("upto") >= F.col("left")))
+        cuts = {r["lang"]: (r["b"], r["left"] - r["upto"] + r["n"]) for r in hit.collect()}
+    if not cuts:
+        return rows.select("text", "lang")
+    rows = rows.join(F.broadcast(_cut_rows(slim.sparkSession, cuts)), "lang", "left")
+    clear = rows.filter(F.col("_cut").isNull() | (F.col("_u") < F.col("_cut"))).select("text", "lang")
+    edge = rows.filter(F.col("_u") == F.col("_cut")).groupBy("lang", "doc_id", "text", "_left").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), at, "text").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = edge.withColumn("_take", F.least(F.col("n"), F.col("_left") - before).cast("int")).filter("_take > 0")
+    return clear.unionByName(edge.select("text", "lang", F.explode(F.sequence(F.lit(1), "_take"))).select("text", "lang"))
+
+
+def _cut_rows(spark: SparkSession, cuts: dict[str, tuple[int, int]]) -> DataFrame:
+    return spark.createDataFrame([(k, *v) for k, v in cuts.items()], "lang string, _cut long, _left long")
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
     """Learns from `docs` (text, lang, and doc_id for the order of the sample)."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text")))
-    chosen = docs.filter("lang is not null and text is not null").select("lang", "doc_id", "text").withColumn("_r", rank).filter(F.col("_r") <= sample).select("text", "lang")
-    chosen = Workspace(docs.sparkSession, "lang").save(chosen, "sample")
+    work = Workspace(docs.sparkSession, "lang")
+    chosen = work.save(_first(docs.filter("lang is not null and text is not null").select("lang", "doc_id", "text"), sample, work), "sample")
     sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not sizes:
         return Filters.build([], {})
@@ -142,6 +183,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
 
 def identify(docs: DataFrame, filters: Filters, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """All columns of `docs`, and the prediction and its score, from the text alone."""
+    place = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
     held = docs.sparkSession.sparkContext.broadcast(filters)  # 2**SLOT_BITS masks: a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,16 +191,15 @@ def identify(docs: DataFrame, filters: Filters, names: tuple[str, str] = ("lang_
         labels = np.array([*model.names, "und"], object)
         for batch in batches:
             pred, score = np.full(batch.num_rows, len(model.names)), np.zeros(batch.num_rows)
-            for low, high, hashes, at, has in features(batch.column(batch.num_columns - 1)):
+            for low, high, hashes, at, has in features(batch.column(place)):
                 if model.names:
                     share = model.shares(hashes, at)
                     pred[low:high] = np.where(has, share.argmax(1), len(model.names))
                     score[low:high] = np.where(has, share.max(1), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(labels[pred], pa.string()), pa.array(score)], [*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels[pred], pa.string()), pa.array(score)], [*batch.schema.names, *names])
 
-    rows = docs.withColumn("_text_of_row", F.col("text"))
     schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def train_rows(docs: DataFrame) -> DataFrame:

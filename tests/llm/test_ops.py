@@ -482,3 +482,20 @@ def test_pipeline(spark, tmp_path):
             assert collections.Counter(ids) == mixed
         kept = after
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+@pytest.mark.parametrize("size", [1, 5, 40, 1000])
+def test_language_sample_is_the_first_rows_of_each_language(spark, size):
+    from pyspark.sql import functions as F
+
+    from ferrule.llm._work import Workspace
+
+    rows = [(i % 97 if i % 5 else None, f"text {i % 13}", ["en", "de"][i % 7 == 0]) for i in range(300)] + [(1, "same", "fr")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = collections.Counter(tuple(r) for r in language._first(docs, size, Workspace(spark, "test")).collect())
+    order = docs.select("text", "lang", F.xxhash64("doc_id").alias("h"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("d")).collect()
+    expected = collections.Counter()
+    for lang in ("en", "de", "fr"):
+        own = sorted(((r["h"], r["d"], r["text"]) for r in order if r["lang"] == lang))
+        expected.update((t, lang) for _, _, t in own[:size])
+    assert got == expected
