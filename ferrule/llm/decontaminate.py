@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import read
+from ._work import read, tidy
 from ._words import U64, chunks, grams, hash_words
 
 RUN = 5
@@ -179,7 +179,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, ru
     out = docs.sparkSession.createDataFrame([], PAIRS)
     for block in blocks(benchmark):
         seeds = docs.sparkSession.sparkContext.broadcast(Seeds(block, run))  # at most BLOCK_WORDS words
-        out = out.union(slim.mapInArrow(lambda it, s=seeds: _tiled(it, s.value, cover), PAIRS))
+        out = out.union(slim.mapInArrow(tidy(lambda it, s=seeds: _tiled(it, s.value, cover)), PAIRS))
     return out
 
 

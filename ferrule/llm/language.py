@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._work import Workspace, read
+from ._work import Workspace, read, tidy
 from ._words import U64, chunks, hash_words, mix
 
 SAMPLE = 1500
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
         return Filters.build([], {})
     names = sorted(sizes, key=lambda x: (-sizes[x], x))
     total = F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("lang"))
-    share = chosen.mapInArrow(_distinct, "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / total)
+    share = chosen.mapInArrow(tidy(_distinct), "lang string, gram long").groupBy("lang", "gram").agg(F.count("*").alias("n")).withColumn("share", F.col("n") / total)
     share = share.filter((F.col("n") >= 2) & (F.col("share") >= MIN_SHARE))
     share = share.withColumn("top", F.max("share").over(Window.partitionBy("gram"))).filter(F.col("share") >= MIN_RATIO * F.col("top"))
     share = share.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("_r") <= CAPACITY)
@@ -199,7 +199,7 @@ def identify(docs: DataFrame, filters: Filters, names: tuple[str, str] = ("lang_
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels[pred], pa.string()), pa.array(score)], [*batch.schema.names, *names])
 
     schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def train_rows(docs: DataFrame) -> DataFrame:

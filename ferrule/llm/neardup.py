@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import Workspace, read
+from ._work import Workspace, read, tidy
 from ._words import GRAM, U64, chunks, grams, hash_words, mix
 
 R = 2
@@ -152,13 +152,13 @@ class Links:
 
     def signatures(self) -> DataFrame:
         k, m = self.k, self.m
-        return self.work.save(self.docs.mapInArrow(lambda it: _signed(it, k, m), "doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")  # the one pass over all texts
+        return self.work.save(self.docs.mapInArrow(tidy(lambda it: _signed(it, k, m)), "doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")  # the one pass over all texts
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """Full sets of those documents; a class needs one row of its doc_id."""
         k = self.k
         texts = self.docs.join(nodes, self.docs["doc_id"].eqNullSafe(nodes["least"])).select("node", "text", "n", "h1", "h2")
-        rows = texts.mapInArrow(lambda it: _sets(it, k), "node long, shingles binary")
+        rows = texts.mapInArrow(tidy(lambda it: _sets(it, k)), "node long, shingles binary")
         return rows.dropDuplicates(["node"])
 
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -169,7 +169,7 @@ class Links:
         sets = self.work.save(self.sets(known), f"sets-{name}")
         wide = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         size = pairs.select("a", "b", "na", "nb")
-        found = wide.select("a", "b", "sa", "sb").mapInArrow(_common, "a long, b long, common long")
+        found = wide.select("a", "b", "sa", "sb").mapInArrow(tidy(_common), "a long, b long, common long")
         found = found.join(size, ["a", "b"]).filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * self.percent)
         out = self.work.save(found.select("a", "b"), f"links-{name}")
         self.work.drop(f"sets-{name}")
@@ -178,7 +178,7 @@ class Links:
     def prefixes(self, nodes: DataFrame) -> DataFrame:
         """(node, n, label, shingle, place): the shingles one of which two alike sets share, but for those no other set has."""
         known = self.classes.select("node", "least", "n", "h1", "h2").join(nodes.select("node"), "node", "left_semi")
-        sets = self.sets(known).mapInArrow(_shingles, "node long, shingle long")
+        sets = self.sets(known).mapInArrow(tidy(_shingles), "node long, shingle long")
         rows = self.work.save(sets.join(nodes, "node"), "open-shingles")
         shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
         own = Window.partitionBy("node")

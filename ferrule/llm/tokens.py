@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import Workspace, read
+from ._work import Workspace, read, tidy
 from ._words import LOWER, SPACE, U64, mix, utf8
 
 SHARD_TOKENS = 1 << 18
@@ -271,7 +271,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID,
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = ["doc_id", F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    out = rows.mapInArrow(lambda it: _packed(it, tokenizer.value, end_id, shard_tokens), SHARDS)
+    out = rows.mapInArrow(tidy(lambda it: _packed(it, tokenizer.value, end_id, shard_tokens)), SHARDS)
     out.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", 64).parquet(path)
 
 
@@ -297,7 +297,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     parts = shards.groupBy("pid").agg(F.sum("n_tokens").alias("n"))  # a row for each writing task
     run = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("pid", F.coalesce(F.sum("n").over(run), F.lit(0).cast("long")).alias("before"))
-    rows = shards.select("pid", "start", "n_docs", "n_tokens", "width", "keys", "payload", "index").mapInArrow(_unpacked, ROWS)
+    rows = shards.select("pid", "start", "n_docs", "n_tokens", "width", "keys", "payload", "index").mapInArrow(tidy(_unpacked), ROWS)
     return rows.join(parts, "pid").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
