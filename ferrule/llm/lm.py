@@ -1,18 +1,23 @@
 """Class-based n-gram scoring after Brown: class transitions times word emissions.
 
-P(word | history) = P(class | h) * P(word | class), h being the class of the last core word before.
+P(word | history) = P(class | h) * P(word | class), h being the class of the token directly before.
 
 1. All training words are counted. Words with at least 1 / `HEAD` of all tokens are the head: at
-   most `HEAD` words at any size. The `CORE` most frequent are the core.
+   most `HEAD` words at any size. The core are the most frequent of them: `CORE`, or four times the
+   root of the head's size where that is more.
 2. Exchange clustering moves each core word to the class that most raises the likelihood of the
-   core's bigrams (a CORE x CORE table of counts over all training documents), until nothing moves.
+   core's bigrams (a table of counts over all training documents), until nothing moves.
 3. Every other word is put by one more exchange step into the class that fits the contexts in which
    it stands: for the head from a table of contexts, for all rarer words from their rows, shuffled by
    word. Rare words have `CLASSES` classes of their own, reached through one rare event.
-4. Transitions are smoothed by the class frequencies. A rare class gives `DISCOUNT` of each of its
+4. Transitions are counted between the classes of all neighbouring training tokens, core, head and
+   rare; a rare word's class meets its neighbours by the text's key. Unknown words are one more
+   history, with nothing counted. Where `core` is given, only so many words are histories, and other
+   words leave the history as it is.
+5. Transitions are smoothed by the class frequencies. A rare class gives `DISCOUNT` of each of its
    words to unknown words, so that probabilities over all known words and one unknown word add to 1.
 
-Counts cover all training documents. What is sent to the driver is bounded by CORE, CLASSES and HEAD;
+Counts cover all training documents. What is sent to the driver is bounded by CLASSES and HEAD;
 rare words only meet in shuffles, by word (below 1 / HEAD of all tokens each) and by document.
 
 Defined cases: null and empty texts are the end token alone; without training documents the score is
@@ -22,13 +27,14 @@ null); other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._work import Workspace, read
@@ -39,7 +45,6 @@ CORE = 1024
 CLASSES = 40
 DISCOUNT = 0.75
 UNSEEN = 0.5
-TURNS = 12
 END = U64(0x5851F42D4C957F2D)
 BLOCK = 1 << 15
 FLUSH = 1_000_000
@@ -148,7 +153,7 @@ def matrix(docs: DataFrame, cells: int, add: Callable[[np.ndarray, pa.Array], No
     return out
 
 
-def exchange(counts: np.ndarray, classes: int, turns: int = TURNS) -> np.ndarray:
+def exchange(counts: np.ndarray, classes: int) -> np.ndarray:
     """Classes of words by exchange. counts: (n + 1, n + 1); the last row is the start, the last column the end."""
     n = len(counts) - 1
     of = np.arange(n) % classes
@@ -159,7 +164,9 @@ def exchange(counts: np.ndarray, classes: int, turns: int = TURNS) -> np.ndarray
     one[n, classes] = 1
     table = one.T @ counts @ one
     k = np.arange(classes)
-    for _ in range(turns):
+    least = 1e-6 + 1e-12 * float(g(counts.sum()))  # above what rounding makes of a gain, so that the turns end
+    moved = 1
+    while moved:
         moved = 0
         for w in range(n):
             out, into, self_ = counts[w] @ one, counts[:, w] @ one, counts[w, w]
@@ -177,7 +184,7 @@ def exchange(counts: np.ndarray, classes: int, turns: int = TURNS) -> np.ndarray
             gain += g(mid + out[k] + into[k] + self_) - g(mid + out[k]) - g(mid + into[k]) + g(mid)
             gain -= g(rows + out.sum() + self_) - g(rows) + g(cols + into.sum() + self_) - g(cols)
             new = int(gain.argmax())
-            if gain[new] <= gain[old] + 1e-6:
+            if gain[new] <= gain[old] + least:
                 new = old
             one[w, old], one[w, new] = 0, 1
             table[new] += out
@@ -185,14 +192,12 @@ def exchange(counts: np.ndarray, classes: int, turns: int = TURNS) -> np.ndarray
             table[new, new] += self_
             of[w] = new
             moved += new != old
-        if not moved:
-            break
     return of
 
 
 @dataclass
 class Model:
-    """What scoring needs: fixed in size by HEAD, CORE and CLASSES."""
+    """What scoring needs: fixed in size by HEAD and CLASSES."""
 
     tokens: int = 0
     distinct: int = 0
@@ -200,6 +205,7 @@ class Model:
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     classes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of head words; k: the end token
     core: int = 0
+    direct: bool = True  # every token is a history, not only core words
     k: int = CLASSES
     next_class: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # log10, (contexts, classes + end + rare)
     emit: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10, of head words
@@ -213,6 +219,17 @@ class Model:
         place = contexts(core, at)
         return np.where(place >= 0, self.classes[core[place]], self.k)
 
+    def columns(self, ids: np.ndarray) -> np.ndarray:
+        """Classes of tokens, k for the end, k + 1 for rarer words."""
+        return np.where(ids >= 0, self.classes[ids], self.k + 1)
+
+    def history_of(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Classes of the tokens before, k at the start, -1 after a rarer word."""
+        if not self.direct:
+            return self.context_of(ids, at)
+        own = np.where(ids >= 0, self.classes[ids], -1)
+        return np.concatenate(([self.k], own))[: len(ids)]  # the end token's class is that of the start
+
 
 def smoothed(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
     prior = prior / prior.sum()
@@ -222,7 +239,7 @@ def smoothed(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
 class Scorer:
     """Trains on the documents outside the held-out fold; `rows` has doc_id, held and text."""
 
-    def __init__(self, docs: DataFrame, head: int = HEAD, core: int = CORE, classes: int = CLASSES):
+    def __init__(self, docs: DataFrame, head: int = HEAD, core: int | None = None, classes: int = CLASSES):
         self.head, self.core, self.k = head, core, classes
         self.spark = docs.sparkSession
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held"), "text")
@@ -240,7 +257,8 @@ class Scorer:
         keys, n = frequent["h"].to_numpy(np.int64).view(U64), frequent["c"].to_numpy(np.int64)
         order = np.lexsort((keys, -n))
         heads = order[keys[order] != END]
-        model.core = core = min(self.core, len(heads))
+        model.direct = self.core is None
+        model.core = core = min(max(CORE, 4 * math.isqrt(len(heads))) if model.direct else self.core, len(heads))
         end = keys == END
         keys, n = np.concatenate((keys[heads], [END])), np.concatenate((n[heads], n[end] if end.any() else [0]))
         model.table, model.counts = Table(keys), n
@@ -273,19 +291,30 @@ class Scorer:
         self.lift = np.log(smoothed(by_core, by_core.sum(0) + UNSEEN) / (by_core.sum(0) + UNSEEN)[None, :])
         rest = slice(core, len(keys) - 1)
         model.classes[rest] = (seen[:, rest].T.astype(float) @ self.lift).argmax(1)
-        table = np.zeros((k + 1, k + 2))
-        np.add.at(table.T, np.concatenate((model.classes, [k + 1])), seen.T.astype(float))
-        prior = table.sum(0)
-        prior[k + 1] += UNSEEN
-        prior[k] += UNSEEN
-        model.next_class = np.log10(np.maximum(smoothed(table, prior), 1e-300))
         mass = np.bincount(model.classes, model.counts, k + 1)
+        self.prior = np.concatenate((mass, [model.tokens - mass.sum()]))
+        self.prior[k:] += UNSEEN
+        classed = self.spark.sparkContext.broadcast(model)
+
+        def transitions(total: np.ndarray, column: pa.Array) -> None:
+            m = classed.value
+            for _, _, hashes, at in token_rows(column):
+                ids = m.table.find(hashes)
+                history = m.history_of(ids, at)
+                own = history >= 0
+                np.add.at(total, history[own] * (k + 2) + m.columns(ids)[own], 1)
+
+        table = matrix(train, (k + 1) * (k + 2), transitions).reshape(k + 1, k + 2)
+        model.next_class = np.log10(np.maximum(smoothed(table, self.prior), 1e-300))
         with np.errstate(divide="ignore"):
             model.emit = np.log10(model.counts / np.maximum(mass[model.classes], 1))
         return model
 
     def split(self, model: Model) -> tuple[DataFrame, DataFrame]:
-        """Documents with their sums over head words, and rows (key, h, context) of rarer words."""
+        """Documents with their sums over head words, and rows of rarer words with the classes beside them.
+
+        What follows a rarer word is scored with that word: its class is not yet known here.
+        """
         held = self.spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,8 +326,9 @@ class Scorer:
                 for low, high, hashes, at in token_rows(batch.column(2)):
                     ids = m.table.find(hashes)
                     own, context = ids >= 0, m.context_of(ids, at)
+                    history, column = m.history_of(ids, at), m.columns(ids)
                     known = np.where(own, ids, 0)
-                    score = np.where(own, m.next_class[context, m.classes[known]] + m.emit[known], m.next_class[context, m.k + 1])
+                    score = np.where(history >= 0, m.next_class[history, column], 0.0) + np.where(own, m.emit[known], 0.0)
                     text_key = np.add.reduceat(mix(hashes + np.arange(len(hashes), dtype=U64) - np.repeat(at[:-1], np.diff(at)).astype(U64)), at[:-1])
                     key = mix(ids_of[low:high].view(U64) * GRAM[2] + text_key).view(np.int64)
                     rare = np.flatnonzero(~own)
@@ -307,31 +337,28 @@ class Scorer:
                     sums = [np.add.reduceat(x, at[:-1]) for x in (own.astype(np.int64), np.where(own, base[known], 0.0), score)]
                     none = lambda kind, k: pa.nulls(k, kind)
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(key), pa.array(ids_of[low:high], mask=np.array([x is None for x in batch.column(0).slice(low, n).to_pylist()], bool)), pa.array(out_of[low:high]), pa.array(np.diff(at)), *map(pa.array, sums), none(pa.int64(), n), none(pa.int32(), n),
+                        pa.array(key), pa.array(ids_of[low:high], mask=np.array([x is None for x in batch.column(0).slice(low, n).to_pylist()], bool)), pa.array(out_of[low:high]), pa.array(np.diff(at)), *map(pa.array, sums), none(pa.int64(), n), none(pa.int32(), n), none(pa.int64(), n), none(pa.int32(), n), none(pa.int32(), n),
                     ], NAMES)
                     if len(rare):
                         r = len(rare)
+                        follows = pa.array(column[rare + 1], pa.int32()) if m.direct else none(pa.int32(), r)
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(key[doc]), none(pa.int64(), r), pa.array(out_of[low:high][doc]), none(pa.int64(), r), none(pa.int64(), r), none(pa.float64(), r), none(pa.float64(), r), pa.array(hashes[rare].view(np.int64)), pa.array(context[rare], pa.int32()),
+                            pa.array(key[doc]), none(pa.int64(), r), pa.array(out_of[low:high][doc]), none(pa.int64(), r), none(pa.int64(), r), none(pa.float64(), r), none(pa.float64(), r), pa.array(hashes[rare].view(np.int64)), pa.array(context[rare], pa.int32()), pa.array(rare - at[doc]), pa.array(history[rare], pa.int32()), follows,
                         ], NAMES)
 
         rows = self.work.save(self.rows.mapInArrow(run, SPLIT), "rows")
-        return rows.filter("h is null"), rows.filter("h is not null").select("key", "held", "h", "context")
+        return rows.filter("h is null"), rows.filter("h is not null").select("key", "held", "h", "context", "place", "history", "follows")
 
-    def rare_classes(self, rare: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-        """(h, class, c) of rarer words by one exchange step each; their contexts and types by class."""
+    def rare_classes(self, rare: DataFrame) -> DataFrame:
+        """(h, class, c) of rarer words by one exchange step each."""
         lift, k = self.lift, self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table, types = np.zeros((k + 1, k), np.int64), np.zeros(k, np.int64)
             last, vector = np.zeros(0, U64), np.zeros((0, k + 1))
 
             def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
                 of = (counts @ lift).argmax(1)
-                np.add.at(table.T, of, counts.astype(np.int64))
-                np.add.at(types, of, 1)
-                n = len(keys)
-                return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(of, pa.int32()), pa.array(counts.sum(1).astype(np.int64)), pa.nulls(n, pa.int32())], WORD_NAMES)
+                return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(of, pa.int32()), pa.array(counts.sum(1).astype(np.int64))], WORD_NAMES)
 
             for batch in batches:  # sorted by h; the last word of a batch may go on
                 for low in range(0, batch.num_rows, 50_000):
@@ -351,16 +378,31 @@ class Scorer:
                     last, vector = keys[-1:], counts[-1:]
             if len(last):
                 yield out(last, vector)
-            flat = np.concatenate((table.ravel(), types))
-            some = np.flatnonzero(flat)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int32()), pa.array(flat[some]), pa.array(some, pa.int32())], WORD_NAMES)
 
         by_word = rare.filter("not held").select("h", "context").repartition("h").sortWithinPartitions("h")
-        words = self.work.save(by_word.mapInArrow(run, "h long, class int, c long, cell int"), "words")
-        flat = np.zeros((k + 2) * k)
-        for r in words.filter("h is null").groupBy("cell").agg(F.sum("c").alias("c")).collect():  # a fixed number of cells
-            flat[r["cell"]] = r["c"]
-        return words.filter("h is not null").select("h", "class", "c"), flat[: -k].reshape(k + 1, k), flat[-k:]
+        return self.work.save(by_word.mapInArrow(run, "h long, class int, c long"), "words")
+
+    def beside(self, rare: DataFrame, words: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows of rarer words with both classes; counts of rare classes by history and of what follows them; types.
+
+        Histories: head classes, k the start, k + 1 .. 2k rare classes, 2k + 1 unknown words.
+        """
+        k = self.k
+        own = F.coalesce(F.col("class"), F.lit(k)) + k + 1
+        rows = rare.join(words, "h", "left").withColumn("own", own)
+        if self.core is None:
+            before = Window.partitionBy("key").orderBy("place").rangeBetween(-1, -1)  # equal rows share their key
+            rows = rows.withColumn("history", F.when(F.col("history") >= 0, F.col("history")).otherwise(F.max("own").over(before)))
+        rows = self.work.save(rows.select("key", "held", "class", "c", "own", "history", "follows"), "beside")
+        train = rows.filter("not held")
+        into, out, types = np.zeros((2 * k + 2, k)), np.zeros((2 * k + 2, k + 2)), np.zeros(k)
+        for r in train.groupBy("history", "class").count().collect():  # a fixed number of cells, as below
+            into[r["history"], r["class"]] = r["count"]
+        for r in train.filter("follows is not null").groupBy("own", "follows").count().collect():
+            out[r["own"], r["follows"]] = r["count"]
+        for r in words.groupBy("class").count().collect():
+            types[r["class"]] = r["count"]
+        return rows, into, out, types
 
     def score(self) -> DataFrame:
         model = self.train()
@@ -368,16 +410,18 @@ class Scorer:
             return untrained(self.rows)
         k = self.k
         docs, rare = self.split(model)
-        words, table, types = self.rare_classes(rare)
+        rows, table, out, types = self.beside(rare, self.rare_classes(rare))
         mass = table.sum(0)
+        after = np.log10(np.maximum(smoothed(out, self.prior), 1e-300))
         chance = smoothed(table, mass + UNSEEN)
         unknown = np.log10((chance * ((DISCOUNT * types + UNSEEN) / (mass + UNSEEN))[None, :]).sum(1))
         known = np.log10(chance) - np.log10(mass + UNSEEN)[None, :]
         literal = lambda x: F.split(F.lit(",".join(f"{v:.12g}" for v in x.ravel())), ",").cast("array<double>")
-        at = F.col("context") * k + F.col("class") + 1
-        word = F.when(F.col("c").isNull(), F.element_at(literal(unknown), F.col("context") + 1)).otherwise(F.element_at(literal(known), at) + F.log10(F.col("c") - DISCOUNT))
+        at = F.col("history") * k + F.col("class") + 1
+        word = F.when(F.col("c").isNull(), F.element_at(literal(unknown), F.col("history") + 1)).otherwise(F.element_at(literal(known), at) + F.log10(F.col("c") - DISCOUNT))
+        word += F.coalesce(F.element_at(literal(after), F.col("own") * (k + 2) + F.col("follows") + 1), F.lit(0.0))
         base = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(model.tokens + 0.1 * (model.distinct + 1)))
-        sums = rare.select("key", "h", "context").join(words, "h", "left").groupBy("key").agg(F.sum(word).alias("rare_score"), F.sum(base).alias("rare_base"), F.count("c").alias("rare_known"))
+        sums = rows.groupBy("key").agg(F.sum(word).alias("rare_score"), F.sum(base).alias("rare_base"), F.count("c").alias("rare_known"))
         twins = docs.groupBy("key").agg(F.count("*").alias("twins"))  # equal rows share their key
         sums = sums.join(twins, "key").select("key", (F.col("rare_score") / F.col("twins")).alias("rare_score"), (F.col("rare_base") / F.col("twins")).alias("rare_base"), (F.col("rare_known") / F.col("twins")).cast("long").alias("rare_known"))
         out = docs.select("key", "doc_id", "held", "n_tokens", "n_head", "head_base", "head_score").join(sums, "key", "left")
@@ -388,9 +432,9 @@ class Scorer:
         )
 
 
-SPLIT = "key long, doc_id long, held boolean, n_tokens long, n_head long, head_base double, head_score double, h long, context int"
+SPLIT = "key long, doc_id long, held boolean, n_tokens long, n_head long, head_base double, head_score double, h long, context int, place long, history int, follows int"
 NAMES = [x.split()[0] for x in SPLIT.split(", ")]
-WORD_NAMES = ["h", "class", "c", "cell"]
+WORD_NAMES = ["h", "class", "c"]
 
 
 def untrained(rows: DataFrame) -> DataFrame:

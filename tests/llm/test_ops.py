@@ -176,6 +176,22 @@ def test_lm_probabilities_add_to_one(spark):
     assert sum(first) + 10**end < 1 and sum(first) + 10**end + 10**one < 1 + 1e-9
 
 
+def test_lm_histories_are_the_tokens_before(spark):
+    """Scores are those of a chain over directly preceding tokens, core, head, rare and unknown, and all texts' probabilities add to 1."""
+    train = [(i, t) for i, t in enumerate(["a b a c", "b a c d", "a a b e f", "c b a", "g h a b"] * 3) if zlib.crc32(str(i).encode()) % 10]
+    known = sorted({w for _, t in train for w in t.split()}) + ["unseen"]
+    ids = (i for i in range(10_000, 99_999) if zlib.crc32(str(i).encode()) % 10 == 0)
+    probes = {i: t for i, t in zip(ids, ["", *known, *(f"{v} {w}" for v in known for w in known), "c d e f", "d unseen c a", "c c"], strict=False)}
+    rows = spark.createDataFrame([*train, *probes.items()], "doc_id long, text string")
+    got = {probes[r["doc_id"]]: r["score"] for r in lm.Scorer(rows, 5, classes=3).score().collect() if r["doc_id"] in probes}
+    for text in ("c d e f", "d unseen c a"):
+        w = text.split()
+        assert math.isclose(got[text], sum(got[f"{a} {b}"] for a, b in itertools.pairwise(w)) - sum(got[x] for x in w[1:-1]), rel_tol=1e-9)
+    start = np.array([10 ** got[w] for w in known])  # P(w | start) P(end | w)
+    step = np.array([[10 ** (got[f"{v} {w}"] - got[v]) for w in known] for v in known])  # P(w | v) P(end | w) / P(end | v)
+    assert math.isclose(10 ** got[""] + start @ np.linalg.solve(np.eye(len(known)) - step, np.ones(len(known))), 1, rel_tol=1e-6)
+
+
 def test_tokens_round_trip(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
