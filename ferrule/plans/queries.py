@@ -63,6 +63,13 @@ def top_k(t: Tables) -> DataFrame:
     return relational.top_k(q, q.filter("vec_id % 100 = 0"), 10).withColumn("score", F.round("score", 9))
 
 
+@query(SQL["top_k"].replace("vec_id % 100 = 0", "vec_id % 20 = 0"))
+def top_k_all_due(t: Tables) -> DataFrame:
+    """The search of top_k for every query that is due."""
+    q = t.embeddings.select("vec_id", vectors.encode_q15(F.col("embedding")).alias("q"))
+    return relational.top_k(q, q.filter("vec_id % 20 = 0"), 10).withColumn("score", F.round("score", 9))
+
+
 @query(f"SELECT vec_id, list_sum({Q15})::BIGINT AS total, {Q15}[1]::INTEGER AS first FROM embeddings")
 def encode_q15(t: Tables) -> DataFrame:
     q = t.embeddings.select("vec_id", vectors.encode_q15(F.col("embedding")).alias("q"))

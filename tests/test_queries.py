@@ -33,3 +33,9 @@ def test_same_rows_in_both_engines(spark, duck, name):
     assert columns == sorted(expected.columns)
     mine = plain([tuple(r[c] for c in columns) for r in got.collect()])
     assert mine == plain(expected.select(*columns).fetchall())
+
+
+def test_search_answers_every_due_query(spark):
+    due = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
+    got = QUERIES["top_k_all_due"](spark, SF).collect()
+    assert {r["query_id"] for r in got} == due and len(got) == 10 * len(due)
