@@ -2,8 +2,8 @@
 
 P(word | history) = P(class | h) * P(word | class), h being the class of the token directly before.
 
-1. All training words are counted. Words with at least 1 / `HEAD` of all tokens are the head: at
-   most `HEAD` words at any size. The core are the most frequent of them: `CORE`, or four times the
+1. All training words are counted. Words with at least 1 / `HEAD` of all tokens that are seen more
+   than once are the head: at most `HEAD` words at any size. The core are the most frequent of them: `CORE`, or four times the
    root of the head's size where that is more.
 2. Exchange clustering moves each core word to the class that most raises the likelihood of the
    core's bigrams (a table of counts over all training documents), until nothing moves.
@@ -253,7 +253,7 @@ class Scorer:
         model = Model(size[0], size[1], k=k)
         if not model.tokens:
             return model
-        frequent = vocabulary.filter((F.col("c") * self.head >= model.tokens) | (F.col("h") == int(END))).toPandas()  # at most `head` rows and the end
+        frequent = vocabulary.filter((F.col("c") * self.head >= model.tokens) & (F.col("c") > 1) | (F.col("h") == int(END))).toPandas()  # at most `head` rows and the end
         keys, n = frequent["h"].to_numpy(np.int64).view(U64), frequent["c"].to_numpy(np.int64)
         order = np.lexsort((keys, -n))
         heads = order[keys[order] != END]

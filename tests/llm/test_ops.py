@@ -192,6 +192,16 @@ def test_lm_histories_are_the_tokens_before(spark):
     assert math.isclose(10 ** got[""] + start @ np.linalg.solve(np.eye(len(known)) - step, np.ones(len(known))), 1, rel_tol=1e-6)
 
 
+def test_lm_discounts_words_seen_once_at_every_size(spark):
+    """In a corpus far below `HEAD` tokens, unknown words get the share that words seen once give up."""
+    train = [(i, f"a b once{i} a b other{i} a") for i in range(1, 90) if zlib.crc32(str(i).encode()) % 10]
+    ids = (i for i in range(10_000, 99_999) if zlib.crc32(str(i).encode()) % 10 == 0)
+    probes = {next(ids): "a b unseen a b unseen a", next(ids): f"a b once{train[0][0]} a b other{train[0][0]} a"}
+    got = {r["doc_id"]: r["score"] for r in lm.Scorer(spark.createDataFrame([*train, *probes.items()], "doc_id long, text string")).score().collect() if r["doc_id"] in probes}
+    unseen, once = (got[i] for i in probes)
+    assert unseen > once  # one unknown word stands for all: 0.75 of each word seen once against 0.25 of one
+
+
 def test_tokens_round_trip(spark, docs, none, tmp_path):
     from tokenizers import Tokenizer
 
