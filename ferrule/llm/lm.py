@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._work import Workspace, read
+from ._work import Workspace, read, tidy
 from ._words import GRAM, U64, chunks, hash_words, mix
 
 HEAD = 1_000_000
@@ -147,7 +147,7 @@ def matrix(docs: DataFrame, cells: int, add: Callable[[np.ndarray, pa.Array], No
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["b", "data"])
 
     out = np.zeros(cells, np.int64)
-    for r in docs.mapInArrow(own, "b int, data binary").repartition("b").mapInArrow(summed, "b int, data binary").collect():
+    for r in docs.mapInArrow(tidy(own), "b int, data binary").repartition("b").mapInArrow(tidy(summed), "b int, data binary").collect():
         part = np.frombuffer(zlib.decompress(r["data"]), np.int64)
         out[r["b"] * BLOCK : r["b"] * BLOCK + len(part)] += part
     return out
@@ -176,7 +176,7 @@ def exchange(counts: np.ndarray, classes: int) -> np.ndarray:
             table[old] -= out
             table[:, old] -= into
             table[old, old] -= self_
-            rows, cols = table.sum(1)[:classes], table.sum(0)[:classes]
+            rows, cols = table.sum(1)[:classes] + into[:classes], table.sum(0)[:classes] + out[:classes]  # those of w beside other classes count wherever w goes
             a = table[:classes] + out[None, :]
             b = table[:, :classes].T + into[None, :]
             gain = (g(a) - g(table[:classes])).sum(1) + (g(b) - g(table[:, :classes].T)).sum(1)
@@ -247,7 +247,7 @@ class Scorer:
 
     def train(self) -> Model:
         train = self.rows.filter("not held").select("text")
-        vocabulary = self.work.save(train.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "vocabulary")
+        vocabulary = self.work.save(train.mapInArrow(tidy(counted), "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "vocabulary")
         size = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
         k = self.k
         model = Model(size[0], size[1], k=k)
@@ -346,7 +346,7 @@ class Scorer:
                             pa.array(key[doc]), none(pa.int64(), r), pa.array(out_of[low:high][doc]), none(pa.int64(), r), none(pa.int64(), r), none(pa.float64(), r), none(pa.float64(), r), pa.array(hashes[rare].view(np.int64)), pa.array(context[rare], pa.int32()), pa.array(rare - at[doc]), pa.array(history[rare], pa.int32()), follows,
                         ], NAMES)
 
-        rows = self.work.save(self.rows.mapInArrow(run, SPLIT), "rows")
+        rows = self.work.save(self.rows.mapInArrow(tidy(run), SPLIT), "rows")
         return rows.filter("h is null"), rows.filter("h is not null").select("key", "held", "h", "context", "place", "history", "follows")
 
     def rare_classes(self, rare: DataFrame) -> DataFrame:
@@ -380,7 +380,7 @@ class Scorer:
                 yield out(last, vector)
 
         by_word = rare.filter("not held").select("h", "context").repartition("h").sortWithinPartitions("h")
-        return self.work.save(by_word.mapInArrow(run, "h long, class int, c long"), "words")
+        return self.work.save(by_word.mapInArrow(tidy(run), "h long, class int, c long"), "words")
 
     def beside(self, rare: DataFrame, words: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, np.ndarray]:
         """Rows of rarer words with both classes; counts of rare classes by history and of what follows them; types.
@@ -446,7 +446,7 @@ def untrained(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(low, high - low) for i in (0, 1)), pa.array(np.diff(at))], ["doc_id", "held_out", "n_tokens"])
 
     zero = F.lit(0)
-    out = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long")
+    out = rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, n_tokens long")
     return out.select("doc_id", "held_out", "n_tokens", zero.cast("long").alias("n_known"), zero.cast("long").alias("train_tokens"), zero.cast("double").alias("base_score"), zero.cast("double").alias("score"))
 
 

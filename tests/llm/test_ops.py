@@ -134,6 +134,11 @@ def test_exchange_finds_classes():
     assert len({*of[::2]}) == len({*of[1::2]}) == 1 and of[0] != of[1]
 
 
+def test_exchange_ends_where_no_move_raises_the_likelihood():
+    counts = np.array([[0, 160, 80], [160, 0, 0], [80, 0, 0]])
+    assert lm.exchange(counts, 40).tolist() == [0, 1]  # with sums that left out w's neighbours it went round
+
+
 def test_class_lm(spark, docs, none):
     got = lm.Scorer(docs, 60, 12, 4).score().collect()
     count, out = collections.Counter(), []
