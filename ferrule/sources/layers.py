@@ -47,8 +47,8 @@ def copy_up(view: DataFrame, updates: DataFrame, key: str, field: str) -> DataFr
 
 
 def invalidate(keys: DataFrame, stores: DataFrame) -> DataFrame:
-    """A tombstone in every vector store; stores are a short list of model names."""
-    return keys.crossJoin(F.broadcast(stores.limit(1000))).withColumn("deleted", F.lit(True))
+    """A tombstone in every vector store, however many there are."""
+    return keys.crossJoin(stores).withColumn("deleted", F.lit(True))
 
 
 def layer_label(user: Column, system: Column) -> Column:

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 from ferrule.plans.registry import QUERIES, SQL
+from ferrule.sources import layers
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,8 @@ def test_search_answers_every_due_query(spark):
     due = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 20 = 0").select("vec_id").collect()}
     got = QUERIES["top_k_all_due"](spark, SF).collect()
     assert {r["query_id"] for r in got} == due and len(got) == 10 * len(due)
+
+
+def test_every_store_gets_its_tombstones(spark):
+    got = layers.invalidate(spark.range(2).toDF("doc_id"), spark.range(1500).toDF("model"))
+    assert got.distinct().count() == 3000
