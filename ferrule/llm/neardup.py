@@ -7,16 +7,19 @@ shingles; a table's key joins one hash of either collection, so 2 m R minhashes
 
 1. One Python pass over the texts: size, 128-bit digest and table keys of each set, written out.
 2. Equal sets become one class (grouping with partial sums): copies cost no pairs.
-3. Tables: each key's classes are compared with the key's first class, never all with all. Pairs
-   are made distinct and confirmed on full sets of those documents alone.
+3. Tables: each key's classes are compared with the key's hub, never all with all. The hub is the class
+   that stands in the largest keys, so of a group of edited copies one close to what they come from.
+   Pairs are made distinct and confirmed on full sets of those documents alone.
 4. Connected components over confirmed links, by neighbours' labels and pointer jumping.
-5. Keys with classes of two or more components are taken up again: `ROUNDS` times with another
-   class of another component in the middle, and then by an exact prefix filter over all classes
-   still under such keys. Sets that are alike share one of their rarest shingles (as many as a set may
-   lack, and one more), so only pairs across components with a common shingle there are compared,
-   not all pairs of a key, and only where as many shingles as alike sets share can still follow in
-   both: copies edited in many places have nothing but shingles of their own there. Links inside a component are needless for its members; no link between components of
-   classes that share a key is left out.
+5. Keys whose other classes are still in two or more components are taken up again, exactly: each class
+   is written as its difference from the hub's set, d shingles that only one of the two has. Two
+   classes with n and n' shingles are alike where their differences have at least
+   (d + d' - (n + n') (1 - s) / (1 + s)) / 2 in common, which is above zero unless both are linked to the hub.
+   A prefix filter over the differences finds the pairs that can: rarest first, as many as a class may
+   have beyond what it must share, and only where as many can still follow in both. Copies edited in many
+   places differ from the hub in shingles of their own and drop out without a pair. Links inside a
+   component are needless for its members; no link between components of classes that share a key is
+   left out.
 
 Defined cases: null or empty text: empty set, linked with nothing; fewer words than a shingle: the
 whole sequence is the one shingle; equal rows are one class; rows without doc_id are linked but give
@@ -38,7 +41,6 @@ from ._words import GRAM, U64, chunks, grams, hash_words, mix
 
 R = 2
 MISS = 5e-4
-ROUNDS = 2
 SEEDS = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 ODD = mix(np.arange(1001, 1257, dtype=U64)) | U64(1)
 
@@ -119,11 +121,15 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(rows, pa.binary())], ["node", "shingles"])
 
 
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, hub, own set, the hub's) to a row for each shingle that only one of them has, marked by which."""
     for batch in batches:
-        for node, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            values = np.frombuffer(raw.as_py(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node, np.int64)), pa.array(values)], ["node", "shingle"])
+        for node, hub, own, other in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            own, other = np.frombuffer(own.as_py(), U64), np.frombuffer(other.as_py(), U64)
+            more, less = np.setdiff1d(own, other, assume_unique=True), np.setdiff1d(other, own, assume_unique=True)
+            both = np.concatenate((more, mix(less ^ GRAM[6])))
+            n = len(both)
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x, np.int64)) for x in (node, hub, n)), pa.array(both.view(np.int64))], ["node", "hub", "d", "shingle"])
 
 
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,16 +181,32 @@ class Links:
         self.work.drop(f"sets-{name}")
         return out
 
-    def prefixes(self, nodes: DataFrame) -> DataFrame:
-        """(node, n, label, shingle, place): the shingles one of which two alike sets share, but for those no other set has."""
-        known = self.classes.select("node", "least", "n", "h1", "h2").join(nodes.select("node"), "node", "left_semi")
-        sets = self.sets(known).mapInArrow(tidy(_shingles), "node long, shingle long")
-        rows = self.work.save(sets.join(nodes, "node"), "open-shingles")
-        shared = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
-        own = Window.partitionBy("node")
-        length = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1  # what a set may lack, and one
-        rows = rows.join(shared, "shingle").withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("df", "shingle")))
-        return rows.filter(F.col("rank") <= length - F.col("alone")).select("node", "n", "label", "shingle", (F.col("rank") + F.col("alone")).alias("place"))
+    def across(self, rows: DataFrame) -> DataFrame:
+        """From (hub, hub_n, node, n, label): pairs (a, b, na, nb) of different labels that may be alike, by differences from the hub."""
+        p, q = 100 + self.percent, 100 - self.percent
+        nodes = rows.select("node").union(rows.select("hub")).distinct()
+        known = self.classes.select("node", "least", "n", "h1", "h2").join(nodes, "node", "left_semi")
+        sets = self.work.save(self.sets(known), "sets-open")
+        wide = rows.select("node", "hub").join(sets.withColumnRenamed("shingles", "own"), "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other")), "hub")
+        parts = self.work.save(wide.select("node", "hub", "own", "other").mapInArrow(tidy(_differences), "node long, hub long, d long, shingle long"), "differences")
+        shared = parts.groupBy("hub", "shingle").agg(F.count("*").alias("df")).filter("df > 1")
+        own = Window.partitionBy("node", "hub")
+        # shingles of one class alone come first in the order and are not needed further
+        ranked = parts.join(shared, ["hub", "shingle"]).withColumn("place", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "shingle")))
+        ranked = ranked.join(rows, ["node", "hub"]).withColumn("far", F.col("d") * p > q * (F.col("n") + F.col("hub_n")))
+        most = F.when(F.col("far"), F.ceil((F.col("d") * p - q * (F.col("n") + F.col("hub_n"))) / 200))  # shared with a class that the hub is linked to
+        half = F.greatest(F.ceil(F.col("d") * self.percent / p), F.lit(1))  # shared with one that it isn't
+        ranked = ranked.withColumns({"in_far": F.col("place") <= F.col("d") - half + 1, "in_near": F.col("far") & (F.col("place") <= F.col("d") - F.greatest(most, F.lit(1)) + 1)})
+        ranked = self.work.save(ranked.filter("in_far or in_near").select("hub", "shingle", "node", "n", "label", "d", "place", "far", "in_far", "in_near"), "prefixes")
+        mixed = ranked.groupBy("hub", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("far").alias("any")).filter("low < high and any").select("hub", "shingle")
+        ranked = ranked.join(mixed, ["hub", "shingle"])
+        right = ranked.filter("in_far").select("hub", "shingle", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "label", "d", "place", "far")))
+        follow = 1 + F.least(F.col("d") - F.col("place"), F.col("d_") - F.col("place_"))  # shared ones from here on, in the common order
+        enough = 2 * p * follow >= p * (F.col("d") + F.col("d_")) - q * (F.col("n") + F.col("n_"))
+        once = F.when(F.col("far_"), F.col("in_far") & (F.col("node") > F.col("node_"))).otherwise(F.col("in_near"))
+        found = ranked.filter("far").join(right, ["hub", "shingle"]).filter(once & enough & (F.col("label") != F.col("label_")) & self.near_size("n", "n_"))
+        low = F.col("node") < F.col("node_")
+        return found.select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b"), F.when(low, F.col("n_")).otherwise(F.col("n")).alias("na"), F.when(low, F.col("n")).otherwise(F.col("n_")).alias("nb")).distinct()
 
     def components(self, links: DataFrame, name: str) -> DataFrame:
         """(node, label): the least node that can be reached; only nodes with links."""
@@ -211,38 +233,22 @@ class Links:
         same = signed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
         self.classes = self.work.save(same.withColumn("node", F.coalesce("least", "h1")), "classes")
         tables = self.classes.select("node", "n", F.explode("keys").alias("key"))
-        first = tables.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("top")).filter(F.col("hub.node") < F.col("top")).select("key", "hub")
-        shared = self.work.save(tables.join(first, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "shared")
-        pairs = shared.filter((F.col("node") != F.col("hub")) & self.near_size("n", "hub_n")).select(F.col("node").alias("a"), F.col("hub").alias("b"), F.col("n").alias("na"), F.col("hub_n").alias("nb")).distinct()
+        many = tables.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1")
+        shared = self.work.save(tables.join(many, "key"), "keys")
+        weight = shared.groupBy("node").agg(F.sum("classes").alias("weight"))
+        hub = shared.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node", "n")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"))
+        shared = self.work.save(shared.join(hub, "key").filter("node <> hub"), "shared")
+        low = F.col("node") < F.col("hub")
+        pairs = shared.filter(self.near_size("n", "hub_n")).select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"), F.when(low, F.col("hub_n")).otherwise(F.col("n")).alias("na"), F.when(low, F.col("n")).otherwise(F.col("hub_n")).alias("nb")).distinct()
         links = self.confirm(pairs, "0")
-        done = self.spark.read.schema("a long, b long, na long, nb long").parquet(self.work.path("pairs-0")).select("a", "b")
         labels = self.components(links, "0")
-        for turn in range(1, ROUNDS + 2):
-            named = shared.select("key", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-            rows = self.work.save(named.join(open_keys, "key"), f"open-{turn}")
-            if not rows.limit(1).count():
-                break
-            if turn <= ROUNDS:
-                other = rows.filter("label <> low").groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("_h"), "node", "n", "label")).alias("hub"))
-                cross = rows.join(other, "key").select(F.col("node"), "n", "label", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.label").alias("hub_label"))
-            else:
-                rare = self.prefixes(rows.select("node", "n", "label").distinct())
-                mixed = rare.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-                rare = self.work.save(rare.join(mixed, "shingle"), "prefixes")
-                right = rare.select("shingle", F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"), F.col("place").alias("hub_place"))
-                most = 1 + F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place"))  # shingles from here on, in the common order
-                enough = most * (100 + self.percent) >= self.percent * (F.col("n") + F.col("hub_n"))
-                cross = rare.join(right, "shingle").filter((F.col("node") > F.col("hub")) & enough)
-            cross = cross.filter((F.col("label") != F.col("hub_label")) & self.near_size("n", "hub_n"))
-            low = F.col("node") < F.col("hub")
-            cross = cross.select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"), F.when(low, F.col("hub_n")).otherwise(F.col("n")).alias("na"), F.when(low, F.col("n")).otherwise(F.col("hub_n")).alias("nb")).distinct()
-            cross = cross.join(done, ["a", "b"], "left_anti")
-            found = self.confirm(cross, str(turn))
-            done = done.union(self.spark.read.schema("a long, b long, na long, nb long").parquet(self.work.path(f"pairs-{turn}")).select("a", "b"))
+        named = shared.filter("classes > 2").select("key", "hub", "hub_n", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        rows = self.work.save(named.join(open_keys, "key", "left_semi").select("hub", "hub_n", "node", "n", "label").distinct(), "open")
+        if rows.limit(1).count():
+            found = self.confirm(self.across(rows), "1")
             if found.limit(1).count():
-                links = links.union(found)
-                labels = self.components(links, str(turn))
+                labels = self.components(links.union(found), "1")
         least = self.classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         names = least.groupBy("label").agg(F.min("least").alias("component_id"))
         named = least.select("n", "h1", "h2", "label").join(names, "label")

@@ -530,3 +530,19 @@ def test_language_sample_is_the_first_rows_of_each_language(spark, size):
         own = sorted(((r["h"], r["d"], r["text"]) for r in order if r["lang"] == lang))
         expected.update((t, lang) for _, _, t in own[:size])
     assert got == expected
+
+
+def test_near_copies_edited_in_many_places_meet_all_their_links(spark):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(220):
+        words = base[:]
+        for _ in range(rng.randrange(14)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], [f"x{rng.randrange(400)}"], [words[at], "the"]])
+        texts.append(" ".join(words))
+    expected = brute_components(list(enumerate(texts)), 5, 80)
+    assert 20 < len({c for _, c in expected.values()}) < 200
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == expected
