@@ -17,6 +17,7 @@ kept by `scan`, which adds only `spans` and `base`.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,27 +83,47 @@ def train(samples: DataFrame) -> list[float]:
     return [round(math.log(chance(True, a, b) / chance(False, a, b)), 4) for a in range(WIDTH) for b in range(WIDTH)]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def ratio(token: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a token."""
+    """Log-likelihood ratio of a token, in one pass over its characters."""
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folded into one literal
-    step = lambda acc, i: acc + F.element_at(table, (F.when(i == 1, 0).otherwise(code(token, i - 1)) * WIDTH + code(token, i) + 1).cast("int"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token)), F.lit(0.0), step)
+
+    def step(acc: Column, own: Column) -> Column:
+        place = F.call_function("locate", own, F.lit(ALPHABET))
+        return F.struct(place.alias("last"), (acc["sum"] + F.element_at(table, (acc["last"] * WIDTH + place + 1).cast("int"))).alias("sum"))
+
+    return F.aggregate(F.split(token, ""), F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum")), step, lambda acc: acc["sum"])
 
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, found>> of the leftmost matches that don't overlap, in code points."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     kind = "array<struct<start:bigint,end:bigint,found:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        hit = F.element_at(found, i)
-        low = acc["at"] + F.length(F.element_at(pieces, i))
-        high = low + F.length(hit)
-        return F.struct(high.alias("at"), F.concat(acc["out"], F.array(F.struct(low.alias("start"), high.alias("end"), hit.alias("found")))).alias("out"))
-
-    spans = F.aggregate(F.sequence(F.lit(1), F.size(found)), start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kind))
+    none = F.array().cast(kind)
+
+    def step(acc: Column, s: Column) -> Column:
+        low = acc["at"] + F.length(s["gap"])
+        high = low + F.length(s["hit"])
+        return F.struct(high.alias("at"), F.concat(acc["out"], F.array(F.struct(low.alias("start"), high.alias("end"), s["hit"].alias("found")))).alias("out"))
+
+    def offset(acc: Column, n: Column) -> Column:
+        return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def placed(steps: Column) -> Column:
+        """Running sums in blocks of about the root of their number, as each append copies an array."""
+        width = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / width).cast("int")), lambda b: F.slice(steps, b * width + 1, width))
+        total = F.transform(blocks, lambda p: F.aggregate(p, zero, lambda n, s: n + F.length(s["gap"]) + F.length(s["hit"])))
+        begin = F.aggregate(total, F.struct(zero.alias("at"), F.array().cast("array<bigint>").alias("out")), offset, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(blocks, begin, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    zero = F.lit(0).cast("long")
+    # the last piece has no match after it; a lambda's variable is computed once, an expression inside a lambda again and again
+    steps = F.slice(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")), 1, F.greatest(F.regexp_count(text, F.lit(pattern)), F.lit(1)))
+    return F.when(text.rlike(pattern), once(steps, placed)).otherwise(none)
 
 
 def tagged(spans: Column, kind: str) -> Column:
