@@ -34,7 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, pow(BASE, -1, 1 << 64)):
         x = np.full(size, base, U64)
@@ -88,7 +88,7 @@ def hash_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     low = LOWER[raw]
     starts, ends = word_spans(low, offsets)
     size = 1 << max(19, int(len(raw)).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = powers(size)
     total = np.zeros(len(raw) + 1, U64)
     np.cumsum((low.astype(U64) + U64(1)) * power[: len(raw)], out=total[1:])
     hashed = mix((total[ends] - total[starts]) * inverse[starts])

@@ -1,6 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are runs of `RUN` words, hashed by the rolling method of Karp and Rabin over word hashes. The
+Seeds are runs of `RUN` words, hashed by the polynomial of Karp and Rabin over word hashes, which one
+pass gives for all places. The
 benchmark is taken in blocks of at most `BLOCK_WORDS` words; a block's seeds go to all tasks, and
 each task passes once over whole documents. A document that shares seeds with an item is tiled
 against it: maximal matches are taken longest first, their words marked in both, what is left of
@@ -18,7 +19,6 @@ are kept by `clean`.
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._work import read, tidy
-from ._words import U64, chunks, grams, hash_words
+from ._words import GRAM, U64, chunks, hash_words, mix, powers
 
 RUN = 5
 COVER = 0.8
@@ -42,45 +42,69 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def tile(item: list, doc: list, run: int = RUN, starts: dict | None = None) -> list[tuple[int, int, int]]:
+def rolled(words: np.ndarray, n: int) -> np.ndarray:
+    """Karp-Rabin hash of the n words from each place on: a polynomial, from one pass of prefix sums."""
+    if len(words) < n:
+        return np.zeros(0, U64)
+    power, inverse = powers(1 << max(12, len(words).bit_length()))
+    total = np.zeros(len(words) + 1, U64)
+    np.cumsum(words * power[: len(words)], out=total[1:])
+    return mix((total[n:] - total[:-n]) * inverse[: len(words) - n + 1])
+
+
+def free_runs(marked: np.ndarray) -> np.ndarray:
+    """How many words from each place on are unmarked."""
+    at = np.arange(len(marked))
+    stop = np.minimum.accumulate(np.where(marked, at, len(marked))[::-1])[::-1] if len(marked) else at
+    return stop - at
+
+
+def tile(item: list, doc: list, run: int = RUN) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in doc, length), longest first, then by place.
 
-    `starts` may give the places in the document of each run of words that the item has.
+    The longest match of unmarked words is found by halving lengths, each with one pass of hashes over both
+    sides. All matches of that length are marked before shorter ones are looked for, so there are at most as
+    many turns as tiles have different lengths: the root of the item's words, twice over.
     """
-    if len(item) < run:
-        run = max(1, len(item))
-    if starts is None:
-        wanted = {tuple(item[i : i + run]) for i in range(len(item) - run + 1)}
-        starts = {}
-        for j in range(len(doc) - run + 1):
-            if (g := tuple(doc[j : j + run])) in wanted:
-                starts.setdefault(g, []).append(j)
-    seeds = {(i, j) for i in range(len(item) - run + 1) for j in starts.get(tuple(item[i : i + run]), ())}
-    heap = []
-    for i, j in seeds:
-        if (i - 1, j - 1) not in seeds:
-            n = run
-            while (i + n - run + 1, j + n - run + 1) in seeds:
-                n += 1
-            heap.append((-n, i, j))
-    heapq.heapify(heap)
-    mine, theirs, tiles = set(), set(), []
-    while heap:
-        n, i, j = heapq.heappop(heap)
-        free = [(i + d) not in mine and (j + d) not in theirs for d in range(-n)]
-        if all(free):
-            tiles.append((i, j, -n))
-            mine.update(range(i, i - n))
-            theirs.update(range(j, j - n))
-            continue
-        begin = None
-        for d, ok in enumerate([*free, False]):
-            if ok and begin is None:
-                begin = d
-            elif not ok and begin is not None:
-                if d - begin >= run:
-                    heapq.heappush(heap, (begin - d, i + begin, j + begin))
-                begin = None
+    if not item or not doc:
+        return []
+    run = min(run, len(item))
+    code: dict = {}
+    a = np.array([code.setdefault(w, len(code)) for w in item], np.int64)
+    b = np.array([code.get(w, -1) for w in doc], np.int64)
+    hashed = [mix(x.view(U64) * GRAM[0] + GRAM[1]) for x in (a, b)]
+    marks = [np.zeros(len(item), bool), b < 0]  # a word that the item lacks matches nothing
+    tiles, high = [], len(item)
+
+    def places(side: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(free_runs(marks[side]) >= n)
+        return at, rolled(hashed[side], n)[at]
+
+    while high >= run:
+        low, top = run - 1, high  # the longest match is longer than low - 1 and no longer than top
+        while low < top:
+            n = (low + top + 1) // 2
+            if len(np.intersect1d(places(0, n)[1], places(1, n)[1])):
+                low = n
+            else:
+                top = n - 1
+        if low < run:
+            break
+        (mine, own), (theirs, other) = places(0, low), places(1, low)
+        spots: dict[int, list[int]] = {}
+        keep = np.isin(other, own)
+        for j, h in zip(theirs[keep][::-1].tolist(), other[keep][::-1].tolist(), strict=True):
+            spots.setdefault(h, []).append(j)  # the first place is last
+        for i, h in zip(mine.tolist(), own.tolist(), strict=True):
+            left = spots.get(h)
+            if not left or marks[0][i : i + low].any():
+                continue
+            while left and marks[1][left[-1] : left[-1] + low].any():
+                left.pop()
+            if left and (a[i : i + low] == b[left[-1] : left[-1] + low]).all():
+                tiles.append((i, left[-1], low))
+                marks[0][i : i + low] = marks[1][left[-1] : left[-1] + low] = True
+        high = low - 1
     return tiles
 
 
@@ -94,7 +118,7 @@ class Seeds:
         for k, (_, words) in enumerate(items):
             n = min(len(words), run)
             if n:
-                for h in set(grams(plain_hashes(words), n).tolist()):
+                for h in set(rolled(plain_hashes(words), n).tolist()):
                     self.by_hash[n].setdefault(h, []).append(k)
         self.keys = {n: np.sort(np.fromiter(found, U64, len(found))) for n, found in self.by_hash.items()}
         self.mask = {}
@@ -104,7 +128,7 @@ class Seeds:
 
     def candidates(self, words: np.ndarray, n: int) -> np.ndarray:
         """Places whose run of n words is one of an item's."""
-        g = grams(words, n)
+        g = rolled(words, n)
         at = np.flatnonzero(self.mask[n][(g >> U64(64 - FILTER_BITS)).astype(np.int64)])
         if not len(at):
             return at
@@ -125,19 +149,11 @@ def pairs_of(text: str, seeds: Seeds, cover: float) -> Iterator[tuple[int | None
     items: dict[int, None] = {}
     for n in (*seeds.short, seeds.run):
         at = seeds.candidates(hashes, n)
-        g = grams(hashes, n)
-        for h in np.unique(g[at]).tolist() if len(at) else ():
+        for h in np.unique(rolled(hashes, n)[at]).tolist() if len(at) else ():
             items.update(dict.fromkeys(seeds.by_hash[n][h]))
-    if not items:
-        return
-    spots: dict[int, dict[tuple, list[int]]] = {}
-    for n in (*seeds.short, seeds.run):
-        spots[n] = {}
-        for j in seeds.candidates(hashes, n).tolist():
-            spots[n].setdefault(tuple(words[j : j + n]), []).append(j)
     for k in sorted(items):
         ident, own = seeds.items[k]
-        tiles = tile(own, words, seeds.run, spots[min(len(own), seeds.run)])
+        tiles = tile(own, words, seeds.run)
         matched = sum(t[2] for t in tiles)
         if tiles and matched >= cover * len(own):
             yield ident, len(tiles), matched, len(own), matched / len(own)
@@ -155,7 +171,7 @@ def _tiled(batches: Iterator[pa.RecordBatch], seeds: Seeds, cover: float) -> Ite
             for r in np.unique(np.searchsorted(at, places, "right") - 1).tolist() if len(places) else ():
                 rows += [(ids[low + r].as_py(), *x) for x in pairs_of(plain[low + r].as_py(), seeds, cover)]
         if rows:
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+            kinds = [ids.type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [x.split()[0] for x in PAIRS.split(", ")])
 
 
@@ -175,18 +191,22 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[list[tupl
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, run: int = RUN) -> DataFrame:
     """Pairs (doc_id, item_id) with tiles, matched words and coverage."""
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = docs.sparkSession.createDataFrame([], PAIRS)
+    return _pairs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, cover, run, PAIRS)
+
+
+def _pairs(slim: DataFrame, benchmark: DataFrame, cover: float, run: int, schema: str) -> DataFrame:
+    out = slim.sparkSession.createDataFrame([], schema)
     for block in blocks(benchmark):
-        seeds = docs.sparkSession.sparkContext.broadcast(Seeds(block, run))  # at most BLOCK_WORDS words
-        out = out.union(slim.mapInArrow(tidy(lambda it, s=seeds: _tiled(it, s.value, cover)), PAIRS))
+        seeds = slim.sparkSession.sparkContext.broadcast(Seeds(block, run))  # at most BLOCK_WORDS words
+        out = out.union(slim.mapInArrow(tidy(lambda it, s=seeds: _tiled(it, s.value, cover)), schema))
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, cover: float = COVER) -> DataFrame:
-    """The documents that hold no item; those without doc_id are kept only if no such row holds one."""
-    bad = contaminated(docs, benchmark, cover).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The documents that hold no item; rows are told apart by their texts, so equal or missing ids take no clean row along."""
+    key = F.md5("text")
+    bad = _pairs(docs.select(key.alias("doc_id"), "text"), benchmark, cover, RUN, PAIRS.replace("doc_id long", "doc_id string")).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, key == bad["_bad"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -441,7 +441,9 @@ def test_decontaminate(spark, none):
     bench = spark.createDataFrame([(9, " ".join(item)), (10, None), (11, ""), (12, "Tiny test."), (13, " ".join(item))], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contaminated(df, bench).collect()}
     assert got == {(1, 9): 1.0, (1, 13): 1.0, (2, 9): 1.0, (2, 13): 1.0, (None, 9): 1.0, (None, 13): 1.0, (6, 12): 1.0}
-    assert sorted(r["doc_id"] for r in decontaminate.clean(df, bench).collect()) == [3, 4, 5]
+    assert sorted((r["doc_id"], r["text"]) for r in decontaminate.clean(df, bench).filter("text is not null").collect()) == [(1, "clean"), (3, " ".join(part)), (5, "")]  # the other row with doc_id 1 goes alone
+    nameless = spark.createDataFrame([(None, " ".join(item)), (None, "clean"), (None, None)], "doc_id long, text string")
+    assert sorted(str(r["text"]) for r in decontaminate.clean(nameless, bench).collect()) == ["None", "clean"]
     assert decontaminate.contaminated(df, bench.filter("false")).count() == 0 and decontaminate.contaminated(none, bench).count() == 0
     assert [len(b) for b in decontaminate.blocks(bench, 31)] == [3, 1, 1] or sum(len(b) for b in decontaminate.blocks(bench, 31)) == 5
 
