@@ -25,6 +25,7 @@ from ._work import Workspace, read
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
+SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -75,10 +76,16 @@ def plan(slim: DataFrame, weights: Sequence[int], max_epochs: int) -> DataFrame:
     return goal
 
 
-def assign(rows: DataFrame, goal: DataFrame) -> DataFrame:
-    """Adds whole (repetitions) and part (words of one more) to rows with source, size and h."""
-    g = goal.select(F.col("source").alias("_s"), "source_size", "target", "whole", "cut1", "cut2", "left2")
-    joined = rows.join(g, rows["source"].eqNullSafe(g["_s"])).drop("_s")
+def assign(rows: DataFrame, goal: DataFrame, work: Workspace) -> DataFrame:
+    """Adds whole (repetitions) and part (words of one more) to rows with source, size and h.
+
+    A table of up to `SOURCES` sources goes to all tasks, as its size is counted. A longer one is joined by
+    source and the result written, so that the join may be split and no window asks for a source as a whole.
+    """
+    g = work.save(goal.select(F.col("source").alias("_s"), "source_size", "target", "whole", "cut1", "cut2", "left2"), "goal")
+    small = g.limit(SOURCES + 1).count() <= SOURCES
+    joined = rows.join(F.broadcast(g) if small else g, rows["source"].eqNullSafe(g["_s"])).drop("_s")
+    joined = joined if small else work.save(joined, "joined")
     cut, six = F.concat("cut1", "cut2"), F.substring("h", 1, 6)
     none = F.lit(0).cast("long")
     clear = joined.filter(cut.isNull() | (six != cut)).withColumn("part", F.when(cut.isNotNull() & (six < cut), F.col("size")).otherwise(none))
@@ -94,17 +101,19 @@ def slim_rows(docs: DataFrame) -> DataFrame:
 
 def mixed_sizes(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """Per document: what the mix takes of it in words."""
-    slim = Workspace(docs.sparkSession, "mix").save(slim_rows(docs), "slim")
-    out = assign(slim, plan(slim, weights, max_epochs))
+    work = Workspace(docs.sparkSession, "mix")
+    slim = work.save(slim_rows(docs), "slim")
+    out = assign(slim, plan(slim, weights, max_epochs), work)
     return out.select("doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_epochs: int = 3) -> DataFrame:
     """The documents as often as the mix takes them; the document at the edge whole, or not, as is nearer."""
-    slim = Workspace(docs.sparkSession, "mix").save(slim_rows(docs), "slim")
+    work = Workspace(docs.sparkSession, "mix")
+    slim = work.save(slim_rows(docs), "slim")
     kept = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
     rows = kept.select("_row", F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), word_count(F.col("_row.text")).alias("size"), seeded(F.col("_row.doc_id")).alias("h"))
-    out = assign(rows, plan(slim, weights, max_epochs))
+    out = assign(rows, plan(slim, weights, max_epochs), work)
     extra = F.when(F.col("size") > 0, (2 * F.col("part") >= F.col("size")).cast("int")).otherwise(0)
     copies = F.col("whole").cast("int") + extra
     return out.filter(copies > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), copies))).select("_row.*")
