@@ -18,7 +18,8 @@ encoded once per worker, many at a time with a control character between them, a
 table. Tests compare with the ids of whole texts.
 
 Defined cases: null text is empty and yields the end id alone; null doc_id sorts first; rows with
-equal doc_id are keys with ordinals 0, 1, ... in the order of their text's hash and text; an empty
+equal doc_id are keys with ordinals 0, 1, ... in the order of their text's hash and text, counted on
+by `lookup` where tasks share a doc_id; an empty
 table gives no shards; other columns are ignored.
 """
 
@@ -305,11 +306,19 @@ def lookup(spark: SparkSession, path: str, doc_id: int | None, ordinal: int = 0)
     """The ids of one document; the ranges of the shards' keys prune all shards but those that may hold it."""
     shards = spark.read.schema(SHARDS).parquet(path)
     near = F.col("first_id").isNull() if doc_id is None else (F.col("last_id") >= doc_id) & (F.coalesce(F.col("first_id"), F.lit(-(1 << 63))) <= doc_id)
-    key = key_hashes(np.array([doc_id or 0]), np.array([ordinal]), np.array([doc_id is None]))
+    before, here, pid = 0, 0, None  # rows of this doc_id in earlier partitions, in this one
     for r in shards.filter(near).orderBy("pid", "seq").toLocalIterator():
+        if r["pid"] != pid:
+            before, here, pid = before + here, 0, r["pid"]
+        if ordinal < before:
+            return None
+        key = key_hashes(np.array([doc_id or 0]), np.array([ordinal - before]), np.array([doc_id is None]))
         known, begin, count = find(r["index"], key)
         if known[0]:
             return np.frombuffer(r["payload"], f"<u{r['width']}")[begin[0] : begin[0] + count[0]].tolist()
+        n = r["n_docs"]
+        null = np.frombuffer(r["keys"], np.uint8, n, 12 * n).astype(bool)
+        here += int((null if doc_id is None else ~null & (np.frombuffer(r["keys"], "<i8", n) == doc_id)).sum())
     return None
 
 
