@@ -1,8 +1,8 @@
 """Secret scans in DataFrame functions: three patterns, and Markov models over characters.
 
 Two first-order character models, one of random strings and one of ordinary identifiers, are
-trained from labelled samples; a candidate is a run of token characters of 16 or more with a digit
-and a letter, and it is reported as kind `markov` where the log-likelihood ratio of the models is at
+trained from labelled samples; a candidate is a run of token characters of 16 or more with a
+letter, and it is reported as kind `markov` where the log-likelihood ratio of the models is at
 least `THRESHOLD` and no pattern has found anything there. The models are one table of ratios
 (69 x 69, a fixed size) in the plan as a literal; everything runs in the JVM without Python.
 
@@ -27,7 +27,7 @@ from ._work import read
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-"
 WIDTH = len(ALPHABET) + 1
@@ -57,9 +57,13 @@ def labelled_samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
     random = F.when(F.col("id") % 3 == 0, F.base64(F.unhex(digest))).when(F.col("id") % 3 == 1, F.substring(digest, 1, 40)).otherwise(F.translate(F.upper(F.base64(F.unhex(digest))), "+/=", ""))
     number = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(3000)).cast("string")
     plain = (
-        F.when(F.col("id") % 4 == 0, F.concat_ws("_", part(1), part(2), part(3), number))
-        .when(F.col("id") % 4 == 1, F.concat(part(1), F.initcap(part(2)), F.initcap(part(3)), number))
-        .when(F.col("id") % 4 == 2, F.concat(F.initcap(part(1)), F.initcap(part(2)), F.initcap(part(3)), F.initcap(part(4)), number))
+        F.when(F.col("id") % 8 == 0, F.concat_ws("_", part(1), part(2), part(3), number))
+        .when(F.col("id") % 8 == 1, F.concat(part(1), F.initcap(part(2)), F.initcap(part(3)), number))
+        .when(F.col("id") % 8 == 2, F.concat(part(1), part(2), part(3)))
+        .when(F.col("id") % 8 == 3, F.concat_ws("/", part(1), F.concat_ws("_", part(2), part(3))))
+        .when(F.col("id") % 8 == 4, F.concat(F.initcap(part(1)), F.initcap(part(2)), F.initcap(part(3)), F.initcap(part(4)), number))
+        .when(F.col("id") % 8 == 5, F.upper(F.concat(part(1), part(2), part(3))))
+        .when(F.col("id") % 8 == 6, F.upper(F.concat_ws("_", part(1), part(2), part(3))))
         .otherwise(F.concat_ws("-", F.concat(part(1), number), part(2), part(3)))
     )
     ids = spark.range(n)
