@@ -2,7 +2,8 @@
 
 `mux` writes a program association table, a program map table and one elementary stream: packets of
 `PES_BYTES` samples with a presentation time (90 kHz clock, 8000 samples a second), a clock reference
-and the random-access flag on every `ACCESS`-th. `demux` knows nothing of what was written: it parses
+and the random-access flag on every `ACCESS`-th, before which both tables stand again, so that `tail` reads
+from there on without what comes before. `demux` knows nothing of what was written: it parses
 the program tables (and their checksums), follows the continuity counter of each packet id, takes
 adaptation fields off, reassembles the elementary packets and reads times and random-access points.
 
@@ -24,9 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from ._work import read
+from ._work import Workspace, read, tidy
 
 BLOCK = 576
+STORED = 256  # streams in one batch on their way to the files
 PACKET = 188
 PES_BYTES = 16 * BLOCK
 ACCESS = 8
@@ -49,13 +51,12 @@ def _section(table: int, ident: int, body: bytes) -> bytes:
     return head + body + crc32_mpeg(head + body).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    return (bytes([0x47, 0x40 | pid >> 8, pid & 0xFF, 0x10, 0]) + section).ljust(PACKET, b"\xff")
+ASSOCIATION = _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
+MAP = _section(2, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([STREAM_TYPE]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
 
 
-TABLES = _table_packet(0, _section(0, 1, PROGRAM.to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + _table_packet(
-    PMT_PID, _section(2, PROGRAM, (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00" + bytes([STREAM_TYPE]) + (0xE000 | DATA_PID).to_bytes(2, "big") + b"\xf0\x00")
-)
+def _tables(turn: int) -> bytes:
+    return b"".join((bytes([0x47, 0x40 | pid >> 8, pid & 0xFF, 0x10 | turn & 15, 0]) + section).ljust(PACKET, b"\xff") for pid, section in ((0, ASSOCIATION), (PMT_PID, MAP)))
 
 
 def _time(ticks: int) -> bytes:
@@ -64,7 +65,7 @@ def _time(ticks: int) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """A whole transport stream of one program."""
-    out, counter = [TABLES], 0
+    out, counter = [] if payload else [_tables(0)], 0
     for k, low in enumerate(range(0, len(payload), PES_BYTES)):
         data = payload[low : low + PES_BYTES]
         ticks = int(low * TICKS) & ((1 << 33) - 1)
@@ -74,6 +75,8 @@ def mux(payload: bytes) -> bytes:
         room = PACKET - 4 - len(first)
         rest = max(0, len(body) - room)
         n = 1 + -(-rest // (PACKET - 4))
+        if k % ACCESS == 0:
+            out.append(_tables(k // ACCESS))
         packets = np.full((n, PACKET), 0xFF, np.uint8)
         packets[:, 0], packets[:, 1], packets[:, 2] = 0x47, DATA_PID >> 8, DATA_PID & 0xFF
         packets[0, 1] |= 0x40
@@ -107,6 +110,7 @@ class Stream:
     breaks: int = 0
     times: list[int] = field(default_factory=list)  # of each elementary packet
     access: list[int] = field(default_factory=list)  # indices of those that can be started from
+    starts: list[int] = field(default_factory=list)  # packet numbers of the tables before them
 
     def feature(self) -> str:
         span = f"{self.times[0]}-{self.times[-1]}" if self.times else "-"
@@ -146,7 +150,8 @@ def demux(media: bytes) -> Stream:
             at += 5 + ((body[at + 3] & 0x0F) << 8 | body[at + 4])
     parts = []
     for pid in sorted(out.streams):
-        own = p[pids == pid]
+        spots = np.flatnonzero(pids == pid)
+        own = p[spots]
         if not len(own):
             continue
         holds = (own[:, 3] & 0x10) > 0
@@ -170,11 +175,17 @@ def demux(media: bytes) -> Stream:
                 out.times.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)
             if flags[first[k]] & 0x40:
                 out.access.append(k)
+                out.starts.append(int(tables[np.searchsorted(tables, spots[first[k]]) - 1]))
             parts.append(data[low + 9 + head[8] : min(high, low + 6 + size) if size else high])
     out.data = np.concatenate(parts).tobytes() if parts else b""
     return out
 
 
+def tail(media: bytes, stream: Stream, point: int) -> Stream:
+    """What can be read from a random-access point on, from the bytes there alone."""
+    return demux(media[stream.starts[point] * PACKET :])
+
+
 def payload_of(text: bytes) -> bytes:
     return text + b"\xff" * ((-len(text)) % BLOCK if text else BLOCK)
 
@@ -197,23 +208,35 @@ def demux_column(df: DataFrame, media: str, into: str) -> DataFrame:
     return df.withColumn(into, pandas_udf(run, "data binary, packets int, breaks int, times array<long>, access array<int>")(F.col(media)))
 
 
+def store(docs: DataFrame, work: Workspace) -> DataFrame:
+    """(doc_id, n_bytes, media): the streams as written and read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, STORED):
+                texts = [x.as_py() or b"" for x in batch.column(1).slice(low, STORED)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, STORED), pa.array(map(len, texts), pa.int64()), pa.array([mux(payload_of(x)) for x in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return work.save(slim.mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary"), "streams", "zstd")
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """Per document: its stream is made, read back, and described."""
+    """Per document: its stream is written, read back from the files, and described."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for x in batch.column(1):
-                text = x.as_py() or b""
-                media = mux(payload_of(text))
+            for x in batch.column(2):
+                media = x.as_py()
                 back = demux(media)
-                rows.append((len(text), len(back.data), hashlib.sha256(back.data).hexdigest(), zlib.crc32(back.data[-32:]), len(media), hashlib.sha256(media).hexdigest(), back.feature()))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                rows.append((len(back.data), hashlib.sha256(back.data).hexdigest(), zlib.crc32(back.data[-32:]), len(media), hashlib.sha256(media).hexdigest(), back.feature()))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    streams = store(docs, Workspace(docs.sparkSession, "media"))
+    return streams.mapInArrow(tidy(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

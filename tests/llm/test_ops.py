@@ -466,6 +466,16 @@ def test_transport_stream():
         media.demux(b"\x00" + stream[1:])
 
 
+def test_streams_can_be_read_from_access_points():
+    rng = random.Random(17)
+    payload = media.payload_of(rng.randbytes(40 * media.PES_BYTES + 77))
+    stream = media.mux(payload)
+    back = media.demux(stream)
+    assert back.breaks == 0 and len(back.access) == len(back.starts) == 6
+    for point, first in enumerate(back.access):
+        assert media.tail(stream, back, point).data == payload[first * media.PES_BYTES :]
+
+
 def test_media_digests(spark, docs, none):
     got = media.digests(docs).collect()
     by_text = collections.defaultdict(set)
