@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEP = "\x01"
@@ -46,3 +46,10 @@ def same_set(a: Column, b: Column) -> Column:
 
 def subset(a: Column, b: Column) -> Column:
     return F.size(F.array_except(a, b)) == 0
+
+
+def find_sequences(rows: DataFrame, key: str, needles: DataFrame, size: int) -> DataFrame:
+    """(key, h) against needles (w) of `size` tokens each: the keys whose tokens hold a needle, by an equal-join on runs."""
+    runs = F.transform(F.sequence(F.lit(1), F.size("h") - size + 1), lambda i: F.array_join(F.slice("h", i, size), SEP))
+    found = rows.filter(F.size("h") >= size).select(key, F.explode(F.array_distinct(runs)).alias("_run"))
+    return found.join(needles.withColumn("_run", F.array_join("w", SEP)), "_run").drop("_run")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text, vectors
-from ferrule.operators import relational
-from ferrule.sources import layers
+from ferrule.operators import index, relational
+from ferrule.sources import layers, shared
 from ferrule.streaming import incremental
 
 QUERIES: dict = {}
@@ -26,17 +23,17 @@ class Tables:
 
     def user(self) -> DataFrame:
         """User layer: every fourth document; every eighth a tombstone."""
-        return self.documents.filter("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("user:"), F.substring("text", 1, 20)).alias("name"), "lang", (F.col("doc_id") % 8 == 0).alias("deleted"))
+        return self.documents.filter("doc_id % 4 = 0").select("doc_id", F.concat(F.lit("user:"), "text").alias("name"), "lang", (F.col("doc_id") % 8 == 0).alias("deleted"))
 
     def system(self) -> DataFrame:
-        return self.documents.filter("doc_id % 3 <> 0").select("doc_id", F.concat(F.lit("sys:"), F.substring("text", 1, 20)).alias("name"), "lang")
+        return self.documents.filter("doc_id % 3 <> 0").select("doc_id", F.concat(F.lit("sys:"), "text").alias("name"), "lang")
 
     def view(self) -> DataFrame:
         return layers.layered(self.user(), self.system(), "doc_id")
 
 
-VIEW = """u AS (SELECT doc_id, 'user:' || substring(text, 1, 20) AS name, lang, doc_id % 8 = 0 AS deleted FROM documents WHERE doc_id % 4 = 0),
-s AS (SELECT doc_id, 'sys:' || substring(text, 1, 20) AS name, lang FROM documents WHERE doc_id % 3 <> 0),
+VIEW = """u AS (SELECT doc_id, 'user:' || text AS name, lang, doc_id % 8 = 0 AS deleted FROM documents WHERE doc_id % 4 = 0),
+s AS (SELECT doc_id, 'sys:' || text AS name, lang FROM documents WHERE doc_id % 3 <> 0),
 v AS (SELECT doc_id, name, lang FROM u WHERE NOT deleted UNION ALL SELECT doc_id, name, lang FROM s WHERE doc_id NOT IN (SELECT doc_id FROM u))"""
 
 
@@ -54,16 +51,16 @@ Q15 = "list_transform(embedding, lambda x: CAST(round_even(0.95::DOUBLE * (x::DO
 
 
 @query(f"""WITH e AS MATERIALIZED (SELECT vec_id, {Q15} AS q FROM embeddings),
-d AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(b.q, a.q), lambda t: CAST(floor((t[1] * t[2] + 16384) / 32768.0) AS BIGINT))) AS dot FROM e a JOIN e b ON a.vec_id % 100 = 0),
+d AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(b.q, a.q), lambda t: CAST(floor((t[1] * t[2] + 16384) / 32768.0) AS BIGINT))) AS dot FROM e a JOIN e b ON a.vec_id % 20 = 0),
 r AS (SELECT query_id, vec_id, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, dot::DOUBLE / 29573.12::DOUBLE)) AS score FROM d),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM r)
 SELECT query_id, vec_id, round(score, 9) AS score, rank::INTEGER AS rank FROM k WHERE rank <= 10""")
 def top_k(t: Tables) -> DataFrame:
     q = t.embeddings.select("vec_id", vectors.encode_q15(F.col("embedding")).alias("q"))
-    return relational.top_k(q, q.filter("vec_id % 100 = 0"), 10).withColumn("score", F.round("score", 9))
+    return relational.top_k(q, q.filter("vec_id % 20 = 0"), 10).withColumn("score", F.round("score", 9))
 
 
-@query(SQL["top_k"].replace("vec_id % 100 = 0", "vec_id % 20 = 0"))
+@query(SQL["top_k"])
 def top_k_all_due(t: Tables) -> DataFrame:
     """The search of top_k for every query that is due."""
     q = t.embeddings.select("vec_id", vectors.encode_q15(F.col("embedding")).alias("q"))
@@ -81,9 +78,9 @@ def layered_view(t: Tables) -> DataFrame:
     return t.view()
 
 
-@query(f"WITH {VIEW}, k AS (SELECT doc_id AS pos, doc_id * 2 AS doc_id FROM documents WHERE doc_id < 400) SELECT pos, k.doc_id, v.name, v.lang, v.doc_id IS NOT NULL AS found FROM k LEFT JOIN v USING (doc_id)")
+@query(f"WITH {VIEW}, k AS (SELECT doc_id AS pos, doc_id * 2 AS doc_id FROM documents) SELECT pos, k.doc_id, v.name, v.lang, v.doc_id IS NOT NULL AS found FROM k LEFT JOIN v USING (doc_id)")
 def multi_get(t: Tables) -> DataFrame:
-    keys = t.documents.filter("doc_id < 400").select(F.col("doc_id").alias("pos"), (F.col("doc_id") * 2).alias("doc_id"))
+    keys = t.documents.select(F.col("doc_id").alias("pos"), (F.col("doc_id") * 2).alias("doc_id"))
     return layers.multi_get(keys, t.view(), "doc_id")
 
 
@@ -129,13 +126,14 @@ def context_filter(t: Tables) -> DataFrame:
     return t.documents.filter(F.col("lang").isin("en", "de") & F.lower("source").contains("src1") & ~F.col("text").contains("License")).select("doc_id", "lang", "source")
 
 
-@query("""WITH n AS (SELECT p_partkey AS needle, string_split(p_name, ' ')[1:1] AS w FROM part WHERE p_partkey < 20)
-SELECT p_partkey, needle FROM part, n WHERE contains(chr(1) || replace(p_name, ' ', chr(1)) || chr(1), chr(1) || array_to_string(w, chr(1)) || chr(1))""")
+@query("""WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM benchmark),
+n AS (SELECT DISTINCT string_split(text, ' ')[1:4] AS w, array_to_string(string_split(text, ' ')[1:4], ' ') AS needle FROM benchmark WHERE len(string_split(text, ' ')) >= 4)
+SELECT d.doc_id, n.needle FROM documents d, n WHERE contains(' ' || d.text || ' ', ' ' || n.needle || ' ')""")
 def token_sequence(t: Tables) -> DataFrame:
-    words = F.split("p_name", " ")
-    needles = t.part.filter("p_partkey < 20").select(F.col("p_partkey").alias("needle"), F.slice(words, 1, 1).alias("w"))
-    hay = t.part.select("p_partkey", "p_name", words.alias("h")).crossJoin(F.broadcast(needles))  # at most 20 needles
-    return hay.filter(text.may_contain(F.col("p_name"), F.col("w")) & text.contains_seq(F.col("h"), F.col("w"))).select("p_partkey", "needle")
+    """Documents that hold the first four words of a benchmark item next to each other, in order: every item, whole texts."""
+    words = F.split("text", " ")
+    needles = t.benchmark.filter(F.size(words) >= 4).select(F.slice(words, 1, 4).alias("w")).distinct()
+    return text.find_sequences(t.documents.select("doc_id", words.alias("h")), "doc_id", needles, 4).select("doc_id", F.array_join("w", " ").alias("needle"))
 
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_suppkey % 3 <> 0)")
@@ -144,10 +142,41 @@ def set_containment(t: Tables) -> DataFrame:
     return relational.contained(t.lineitem.select("l_orderkey", "l_suppkey"), loaded, "l_orderkey", "l_suppkey")
 
 
-@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
+INDEXED = "SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN l_suppkey END AS s FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"
+
+
+def postings(t: Tables) -> DataFrame:
+    """Orders by supplier; every thirteenth has an empty list of constituents and is always available."""
+    lists = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_suppkey").alias("s"))  # an order's few lines
+    empty = F.array().cast("array<bigint>")
+    rows = t.orders.select("o_orderkey").join(lists, "o_orderkey", "left")
+    return index.build(rows.withColumn("s", F.when(F.col("o_orderkey") % 13 == 0, empty).otherwise(F.coalesce("s", empty))), "o_orderkey", "s")
+
+
+@query(f"SELECT DISTINCT o_orderkey FROM ({INDEXED}) WHERE s IS NULL OR s IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
 def index_candidates(t: Tables) -> DataFrame:
-    loaded = t.supplier.filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("l_suppkey"))
-    return t.lineitem.join(loaded, "l_suppkey", "left_semi").select("l_orderkey").distinct()
+    return index.candidates(postings(t), t.supplier.filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("part")))
+
+
+@query(f"SELECT s AS part, count(DISTINCT o_orderkey) AS n, min(o_orderkey) AS low FROM ({INDEXED}) GROUP BY s")
+def index_rebuild(t: Tables) -> DataFrame:
+    return postings(t).groupBy("part").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"))
+
+
+@query(f"""WITH i AS (SELECT DISTINCT o_orderkey, s FROM ({INDEXED})), a AS (SELECT c_custkey AS o_orderkey, c_nationkey AS s FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT c_custkey, NULL FROM customer WHERE c_custkey % 5 = 1)
+SELECT o_orderkey, s AS part FROM (SELECT * FROM i UNION SELECT * FROM a) WHERE o_orderkey % 7 <> 2""")
+def index_update(t: Tables) -> DataFrame:
+    """Entries added twice stand once; removed keys lose all their entries."""
+    c = F.col("c_custkey")
+    more = t.customer.filter(c % 5 < 2).select(c.alias("o_orderkey"), F.when(c % 5 == 0, F.array(F.col("c_nationkey").cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("s"))
+    both = index.add(index.add(postings(t), more, "o_orderkey", "s"), more, "o_orderkey", "s")
+    return index.remove(both, t.orders.filter("o_orderkey % 7 = 2").select("o_orderkey").union(t.customer.filter("c_custkey % 7 = 2").select("c_custkey")), "o_orderkey")
+
+
+@query(f"""WITH i AS (SELECT DISTINCT o_orderkey FROM ({INDEXED}) WHERE o_orderkey % 3 = 0), r AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)
+SELECT coalesce(i.o_orderkey, r.o_orderkey) AS o_orderkey, CASE WHEN r.o_orderkey IS NULL THEN 'dangling' ELSE 'unindexed' END AS state FROM i FULL JOIN r USING (o_orderkey) WHERE i.o_orderkey IS NULL OR r.o_orderkey IS NULL""")
+def index_reconcile(t: Tables) -> DataFrame:
+    return index.reconcile(postings(t).filter("o_orderkey % 3 = 0"), t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey"), "o_orderkey")
 
 
 @query("SELECT l_suppkey, count(DISTINCT l_orderkey) AS n, min(l_orderkey) AS low, max(l_orderkey) AS high FROM lineitem GROUP BY l_suppkey")
@@ -262,7 +291,7 @@ def group_collapse(t: Tables) -> DataFrame:
     return relational.best_per_group(t.documents, "source", "lang", "doc_id", "n_chars").withColumn("kinds", F.array_join("kinds", ","))
 
 
-@query("WITH p AS (SELECT DISTINCT doc_id AS x FROM labels), g AS (SELECT x, x // 65536 AS b, x - row_number() OVER (PARTITION BY x // 65536 ORDER BY x) AS g FROM p) SELECT min(x) AS low, max(x) AS high FROM g GROUP BY b, g")
+@query("WITH p AS (SELECT DISTINCT doc_id AS x FROM labels), g AS (SELECT x, x - row_number() OVER (ORDER BY x) AS g FROM p) SELECT min(x) AS low, max(x) AS high FROM g GROUP BY g")
 def gaps_and_islands(t: Tables) -> DataFrame:
     return relational.islands(t.labels, "doc_id")
 
@@ -281,7 +310,7 @@ def quotas(t: Tables) -> DataFrame:
 
 @query("SELECT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang = 'es' AND n_chars > 5000")
 def set_difference(t: Tables) -> DataFrame:
-    return t.documents.filter("lang = 'en'").select("source").exceptAll(t.documents.filter("lang = 'es' and n_chars > 5000").select("source")).distinct().join(t.documents.filter("lang = 'es' and n_chars > 5000").select("source").distinct(), "source", "left_anti")
+    return t.documents.filter("lang = 'en'").select("source").subtract(t.documents.filter("lang = 'es' and n_chars > 5000").select("source"))
 
 
 @query("SELECT p_partkey, upper(p_brand) || ' ' || p_name || ': ' || CASE WHEN length(p_type) > 8 THEN substring(p_type, 1, 8) || '…' ELSE p_type END AS line, split_part(p_brand, '#', -1) AS base FROM part")
@@ -309,25 +338,29 @@ def content_digest(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("n"))
 
 
-@query("""WITH RECURSIVE c(node, dst) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT c.node, d.d FROM c JOIN (SELECT p_partkey AS s, (p_partkey * 7 + 3) % 101 AS d FROM part WHERE p_partkey % 3 <> 0) d ON c.dst = d.s)
+@query("""WITH RECURSIVE e AS (SELECT p_partkey AS s, (p_partkey * 7 + 3) % (SELECT count(*) FROM part) + 1 AS d FROM part WHERE p_partkey % 9 <> 0 UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey % 5 = 0),
+c(node, dst) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT c.node, e.d FROM c JOIN e ON c.dst = e.s)
 SELECT c.node, max(p.p_size)::BIGINT AS eff FROM c JOIN part p ON p.p_partkey = c.dst GROUP BY c.node""")
 def effective_versions(t: Tables) -> DataFrame:
-    base = t.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="ferrule-")
-    root = f"{base}/eff-{uuid.uuid4().hex}"
-
-    def save(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{root}/{name}")
-        return t.spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
+    """Each part depends on one or two others; the key beyond the last is no part."""
+    save, count = shared.tables(t.spark, "eff"), t.part.count()
     nodes = t.part.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("version"))
-    edges = t.part.filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % 101).alias("dst"))
+    edges = t.part.filter("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % count + 1).alias("dst"))
+    edges = edges.union(t.part.filter("p_partkey % 5 = 0").select("p_partkey", F.floor(F.col("p_partkey") / 2)))
     return incremental.effective_versions(nodes, edges, save)
 
 
-@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality <> doc_id % 2 OR n_chars > 3000")
+@query("""WITH e AS (SELECT d.doc_id, max(e.event_id) AS eff FROM documents d JOIN events e ON e.user_id = d.doc_id GROUP BY d.doc_id)
+SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) LEFT JOIN e USING (doc_id) WHERE doc_id % 11 <> 0 AND (quality IS NULL OR quality <> doc_id % 2 OR doc_id % 13 = 0 OR doc_id % 6 = 0 OR coalesce(eff, 0) > CASE WHEN doc_id % 4 = 0 THEN 0 ELSE n_chars END)""")
 def stale_records(t: Tables) -> DataFrame:
-    rows = t.documents.join(t.labels, "doc_id", "left").select(
-        "doc_id", (F.col("doc_id") % 2).alias("digest"), F.col("quality").alias("stored_digest"), F.array("doc_id").alias("deps"), F.array("doc_id").alias("stored_deps"), F.col("n_chars").alias("eff"), F.lit(3000).alias("interpreted_at")
+    """All four reasons: no or another digest, other dependencies (order and repeats are nothing), older than what it depends on; every eleventh is not tracked."""
+    k = F.col("doc_id")
+    eff = t.events.groupBy(F.col("user_id").alias("doc_id")).agg(F.max("event_id").alias("eff"))  # the newest version that it depends on
+    tracked = k % 11 != 0
+    deps = F.array(k, k + 1, k)
+    stored = F.when(k % 13 == 0, F.lit(None)).when(k % 6 == 0, F.array(k, k + 2)).otherwise(F.array(k + 1, k))
+    rows = t.documents.join(t.labels, "doc_id", "left").join(eff, "doc_id", "left").select(
+        "doc_id", F.when(tracked, k % 2).alias("digest"), F.col("quality").alias("stored_digest"), F.when(tracked, deps).alias("deps"), stored.alias("stored_deps"), "eff", F.when(k % 4 != 0, F.col("n_chars")).alias("interpreted_at")
     )
     return incremental.stale(rows).select("doc_id")
 
