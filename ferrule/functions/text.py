@@ -53,3 +53,16 @@ def find_sequences(rows: DataFrame, key: str, needles: DataFrame, size: int) ->
     runs = F.transform(F.sequence(F.lit(1), F.size("h") - size + 1), lambda i: F.array_join(F.slice("h", i, size), SEP))
     found = rows.filter(F.size("h") >= size).select(key, F.explode(F.array_distinct(runs)).alias("_run"))
     return found.join(needles.withColumn("_run", F.array_join("w", SEP)), "_run").drop("_run")
+
+
+def boundaries(tokens: Column) -> Column:
+    """Where tokens end, in characters of all of them in a row."""
+    step = lambda acc, x: F.struct((acc["at"] + F.length(x)).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(x)).alias("out"))
+    ends = F.aggregate(tokens, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+    return F.array_distinct(F.filter(ends, lambda x: x > 0))
+
+
+def token_change(old: Column, new: Column) -> Column:
+    """same, refinement, merge or mixed by where tokens end; content where the characters differ."""
+    a, b = boundaries(old), boundaries(new)
+    return F.when(F.array_join(old, "") != F.array_join(new, ""), "content").when(same_set(a, b), "same").when(subset(a, b), "refinement").when(subset(b, a), "merge").otherwise("mixed")

@@ -34,3 +34,10 @@ def recover_cos(score: Column) -> Column:
 def normalize(v: Column) -> Column:
     n = norm(v)
     return F.when(n != 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
+def decode_checked(q: Column, dimension: int) -> Column:
+    """Dequantised; an error for vectors that were never migrated, or of another length."""
+    n = F.size(q)
+    wrong = F.when(n == 2 * dimension, F.raise_error(F.lit("a float32 vector that is not migrated")).cast("array<double>")).otherwise(F.raise_error(F.concat(F.lit("a vector of the wrong length: "), n.cast("string"))).cast("array<double>"))
+    return F.when(q.isNull() | (n == dimension), decode_q15(q)).otherwise(wrong)

@@ -1,6 +1,6 @@
 """Registered queries: name to (spark, sf_dir) -> DataFrame, and name to DuckDB SQL."""
 
-from . import upkeep  # noqa: F401  (adds its queries)
+from . import catalogue, upkeep  # noqa: F401  (they add their queries)
 from .queries import FLAGSHIP, QUERIES, SQL
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]

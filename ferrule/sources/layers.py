@@ -58,3 +58,49 @@ def layer_label(user: Column, system: Column) -> Column:
 def newest(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """Keep the first `n` of each group; Spark limits groups before the shuffle."""
     return rows.withColumn("generation", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("generation") <= n)
+
+
+def ordered(user: DataFrame, system: DataFrame, key: str) -> DataFrame:
+    """The visible rows in the order of their keys, with the layer that serves each."""
+    return layered(user.withColumn("layer", F.lit("user")), system.withColumn("layer", F.lit("system")), key).orderBy(key)
+
+
+EMBEDDED = ("kind", "name", "expr", "interpretation", "goal_patterns")  # fixed values: what a vector is made from
+
+
+def backfill(view: DataFrame, entries: DataFrame, key: str, field: str) -> tuple[DataFrame, DataFrame]:
+    """Rows for the user layer with one field filled, and one row of counts: hit, missing.
+
+    A field that a vector is made from is refused, as its vectors would then be of another text.
+    """
+    if field in EMBEDDED:
+        raise ValueError(f"{field} is part of what is embedded")
+    rows = view.drop(field).join(entries.select(key, field), key).withColumn("deleted", F.lit(False))
+    known = entries.select(key).join(view.select(key, F.lit(True).alias("_hit")), key, "left")
+    return rows, known.agg(F.count("_hit").alias("hit"), (F.count("*") - F.count("_hit")).alias("missing"))
+
+
+def delete(view: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Tombstones for the user layer with whether each key was visible; the same keys for `invalidate`, to be written first."""
+    wanted = keys.select(key).distinct()
+    return wanted.join(view.select(key, F.lit(True).alias("was_visible")), key, "left").select(key, F.coalesce("was_visible", F.lit(False)).alias("was_visible"), F.lit(True).alias("deleted")), wanted
+
+
+def upsert(view: DataFrame, rows: DataFrame, key: str, stores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What to write, in this order: tombstones of the vectors of keys that change, then the rows."""
+    return invalidate(rows.select(key).distinct(), stores), rows.withColumn("deleted", F.lit(False))
+
+
+def store_names(*layers_: DataFrame) -> DataFrame:
+    """Names of all layers, each once, sorted."""
+    every = layers_[0].select("name")
+    for x in layers_[1:]:
+        every = every.union(x.select("name"))
+    return every.filter("name is not null").distinct().orderBy("name")
+
+
+def three_states(keys: DataFrame, vectors: DataFrame, dead: DataFrame, key: str, vector: str) -> DataFrame:
+    """value, tombstone or absent; only a value has a vector."""
+    rows = keys.join(vectors.select(key, vector), key, "left").join(dead.select(key, F.lit(True).alias("_dead")), key, "left")
+    state = F.when(F.col("_dead"), "tombstone").when(F.col(vector).isNull(), "absent").otherwise("value")
+    return rows.withColumn("state", state).withColumn(vector, F.when(F.col("state") == "value", F.col(vector))).drop("_dead")
