@@ -182,8 +182,8 @@ def cost(input_tokens: Column, cached: Column, output: Column, prices: tuple[flo
 def human_bytes(n: Column) -> Column:
     out = F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for i, unit in enumerate(("KiB", "MiB", "GiB"), 1):
-        out = out.when(n < 1024 ** (i + 1), F.concat(F.format_number(n / 1024**i, "0.0"), F.lit(f" {unit}")))
-    return out.otherwise(F.concat(F.format_number(n / 1024**4, "0.0"), F.lit(" TiB")))
+        out = out.when(n < 1024 ** (i + 1), F.concat(F.format_number(n / 1024**i, 1), F.lit(f" {unit}")))
+    return out.otherwise(F.concat(F.format_number(n / 1024**4, 1), F.lit(" TiB")))
 
 
 def infrastructure(name: Column, attributes: dict[str, Column], preserved: Column, declared: Column) -> Column:

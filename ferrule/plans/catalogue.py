@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions import lexer
 from ferrule.functions import records as r
 from ferrule.functions import text as tx
 from ferrule.functions import vectors
-from ferrule.operators import search, upkeep
-from ferrule.sources import layers
+from ferrule.operators import embedding, graphs, search, upkeep
+from ferrule.sources import codec, layers, shared
 
 from .queries import VIEW, Tables, query
 
@@ -382,3 +383,36 @@ def work_in_progress(t: Tables) -> DataFrame:
     """Keys that aren't persistent go for good, but for those still in use."""
     odd = F.col("p_partkey") % 2 == 1
     return t.part.filter(~odd | ((F.col("p_partkey") % 4 == 1) & ~F.col("p_type").startswith("PROMO"))).select("p_partkey", "p_type")
+
+
+@query("SELECT doc_id, 1 + length(coalesce(lang, ''))::INT AS kind, source AS name, md5(text) AS digest, n_chars AS version, doc_id::INT AS line FROM documents WHERE doc_id % 6 <> 0")
+def record_codec(t: Tables) -> DataFrame:
+    """Records written in the stored form and read back; tombstones and what can't be read are left out."""
+    d = t.documents
+    values = {"kind": 1 + F.length(F.coalesce("lang", F.lit(""))), "name": F.col("source"), "interpretation": F.col("text"), "version": F.col("n_chars"), "position": F.struct(F.col("source").alias("file"), F.col("doc_id").cast("int").alias("line"), F.lit(1).alias("col"))}
+    fields = F.struct(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in codec.RECORD))
+    body = F.when(F.col("doc_id") % 12 == 0, F.unhex(F.lit(""))).when(F.col("doc_id") % 6 == 0, F.unhex(F.lit("c1ff"))).otherwise(codec.encode(fields))
+    store = d.select(F.concat(F.unhex(F.md5("source")), F.encode(F.col("doc_id").cast("string"), "utf-8")).alias("uk"), body.alias("value"))
+    return codec.records(store).select(F.decode(F.substring("uk", 17, 20), "utf-8").cast("long").alias("doc_id"), "kind", "name", F.md5("interpretation").alias("digest"), "version", F.col("position.line").alias("line"))
+
+
+@query("")
+def subtokens(t: Tables) -> DataFrame:
+    """Words of formulas in all item texts, by how many items have them."""
+    return t.benchmark.select(F.explode(F.array_distinct(lexer.subtokens_of(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
+@query("")
+def search_after_embedding(t: Tables) -> DataFrame:
+    """All items against all documents; documents without a vector get one first."""
+    none = t.spark.createDataFrame([], "doc_id long, q array<int>")
+    return embedding.search(t.documents.select("doc_id", "text"), none, t.benchmark.select(F.col("item_id").alias("query_id"), "text"), "doc_id", "text", "words", 5)[0]
+
+
+@query("")
+def theory_hashes(t: Tables) -> DataFrame:
+    """Hashes of parts over their parents: the half and the third of a key."""
+    k = F.col("p_partkey")
+    nodes = t.part.select(k.alias("node"), F.col("p_name").alias("name"), F.col("p_type").alias("content"))
+    edges = t.part.filter("p_partkey > 0").select(k.alias("node"), F.explode(F.array(F.struct(F.lit(0).alias("place"), F.floor(k / 2).alias("parent")), F.struct(F.lit(1).alias("place"), F.floor(k / 3).alias("parent")))).alias("e")).select("node", "e.place", "e.parent")
+    return graphs.merkle(nodes, edges, shared.tables(t.spark, "hashes")).select("node", F.lower(F.hex("hash")).alias("hash"))
