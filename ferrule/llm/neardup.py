@@ -244,6 +244,7 @@ class Links:
         labels = self.components(links, "0")
         named = shared.filter("classes > 2").select("key", "hub", "hub_n", "node", "n").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         open_keys = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+        open_keys = self.work.save(open_keys, "open-keys")  # of known size: the join is broadcast or may be split
         rows = self.work.save(named.join(open_keys, "key", "left_semi").select("hub", "hub_n", "node", "n", "label").distinct(), "open")
         if rows.limit(1).count():
             found = self.confirm(self.across(rows), "1")
