@@ -142,3 +142,68 @@ def test_streamed_upserts(spark, tmp_path):
     got = layers.compact(spark.read.parquet(log).drop("batch"), "uk", "seq")
     assert sorted((r["uk"], r["value"]) for r in got.collect()) == [(1, "c"), (2, "d")]
     assert spark.read.parquet(log).count() == 3
+
+
+def test_a_store_from_first_record_to_snapshot(spark, tmp_path):
+    from ferrule.store import SCHEMAS, Store, main
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    row = lambda uk, theory, kind, text, parts=None, patterns=None, lasting=True: (uk, theory, kind, f"n_{uk}", "x", text, parts, patterns, lasting)
+    put = lambda *rows: spark.createDataFrame(list(rows), SCHEMAS["records"])
+    store.append("registry", spark.createDataFrame([("aa", "A", 1), ("ab", "A", 2), ("cc", "B", 1)], SCHEMAS["registry"]))
+    store.put(put(row("1", "aa", 2, "red apple"), row("2", "ab", 2, "green pear"), row("3", "cc", 1, None), row("4", "cc", 2, "blue sky", None, None, False)))
+    store.put_experience(put(row("5", None, 8, "pears are red", ["aa", "cc"], ["?a = ?b"])), "words")
+    queries = spark.createDataFrame([(1, "red apple")], "query_id long, text string")
+    hits = store.query_knn(queries, "words", 2).orderBy("rank").collect()
+    assert hits[0]["uk"] == "1" and store.models() == ["words"] and store.view("vectors").count() == 4
+    assert "5" not in {r["uk"] for r in store.query_knn(queries, "words", 9, loaded=["aa"]).collect()}
+    assert store.query_knn(queries, "words", 9, kinds=[1]).count() == 0
+    store.put(put(row("1", "aa", 2, "a new text")))
+    assert store.view("vectors").filter("uk = '1'").count() == 0  # invalid until it is embedded again
+    assert store.embed_missing("words") == {"missing": 2, "unrenderable": 1, "embedded": 1}
+    assert store.fsck()["records"] == 5 and {r["state"] for r in store.generations(1).filter("doomed").selectExpr("theory as state").collect()} == {"aa"}
+    assert main([store.path, "prune", "1"], spark) == "1" and store.view("records").count() == 5
+    assert store.clean_unfinished() == 1 and store.remove(["aa"], dry=True) == 2
+    with pytest.raises(ValueError, match="ambiguous"):
+        store.remove(["A"])
+    manifest = store.export(f"file://{tmp_path}/out")
+    assert manifest["tables"]["records"]["entries"] == 4
+    other = Store(spark, f"file://{tmp_path}/other")
+    assert other.pull(f"file://{tmp_path}/out") and not other.pull(f"file://{tmp_path}/out")
+    found = other.delete(spark.createDataFrame([("1",), ("9",)], "uk string"))
+    assert {r["uk"]: r["was_visible"] for r in found.collect()} == {"1": True, "9": False}
+    assert other.status()["records"] == {"user": 0, "tombstones": 2, "system": 4} and other.view("records").count() == 3
+    assert other.reindex() == 2 and other.fsck(fix=True)["orphan vectors"] == 0
+    assert {r["uk"]: r["found"] for r in other.contains(spark.createDataFrame([("1",), ("2",)], "uk string")).collect()} == {"1": False, "2": True}
+
+
+def test_migrations(spark, tmp_path):
+    from ferrule.operators import migrate
+
+    h = lambda c: c * 32
+    rows = spark.createDataFrame([("k1", h("a"), "01", [("A", h("a"))]), ("k2", None, "02", [("A", h("a")), ("B", h("b"))]), ("k3", h("d"), "03", None)], "uk string, theory string, tail string, constituents array<struct<name:string,hash:string>>")
+    mapping = spark.createDataFrame([(h("a"), "A", h("1")), (h("b"), "B", h("2")), (h("b"), "C", h("3"))], "old string, name string, new string")
+    got = {r["uk"]: r["new_uk"] for r in migrate.rekeyed(rows, mapping).collect()}
+    assert got == {"k1": h("1") + "01", "k2": h("3") + "02", "k3": h("d") + "03"}  # 1 xor 2 is 3
+    with pytest.raises(ValueError, match="share a key"):
+        migrate.rekeyed(rows.withColumn("tail", F.lit("00")).withColumn("constituents", F.lit(None).cast(rows.schema["constituents"].dataType)).withColumn("theory", F.lit(h("a"))), mapping)
+    members = spark.createDataFrame([("1", "t", 2, "c(1)", None), ("2", "t", 2, "c", 5), ("3", "t", 7, "m(1)", None)], "uk string, theory string, kind int, name string, position int")
+    bins = spark.createDataFrame([("t", "c")], "theory string, name string")
+    assert {r["uk"]: r["from_collection"] for r in migrate.classified(members, bins).collect()} == {"1": "c", "2": None, "3": None}
+    with pytest.raises(ValueError, match="no collection"):
+        migrate.classified(members, bins.limit(0))
+    (tmp_path / "deps.tsv").write_text("DEP\tA\ttrue\t/a\t\nother\nDEP\tB\tfalse\t/b\tA,C\n")
+    assert sorted((r["node"], r["parent"] or "") for r in migrate.read_dependencies(spark, str(tmp_path / "deps.tsv")).collect()) == [("A", ""), ("B", "A"), ("B", "C")]
+    names = spark.createDataFrame([("x.a",), ("y.a",), ("x.b",), ("b",)], "name string")
+    asked = spark.createDataFrame([("a",), ("b",), ("x.a",), ("z",)], "asked string")
+    assert {r["asked"]: (r["name"], r["state"]) for r in migrate.prune_targets(names, asked).collect()} == {"a": (None, "ambiguous"), "b": ("b", "exact"), "x.a": ("x.a", "exact"), "z": (None, "missing")}
+    old = spark.createDataFrame([(8, '["p"]', None), (8, "[broken", None), (2, "e", None)], "kind int, expr string, goal_patterns array<string>")
+    assert [(r["expr"], r["goal_patterns"]) for r in migrate.list_patterns(old).collect()] == [(None, ["p"]), (None, None), ("e", None)]
+    q, counts = migrate.quantised(spark.createDataFrame([("1", [1.0, 0.0]), ("2", [1.0])], "uk string, v array<float>"), 2)
+    assert q.first()["q"][0] == 31130 and {r["format"]: r["n"] for r in counts.collect()} == {"float32": 1, "other": 1}
+    assert migrate.padded(old, {"version": "long"}).columns[-1] == "version" and migrate.without_kinds(old, [8]).count() == 1
+    assert {r["kind"]: (r["have"], r["lack"]) for r in migrate.positions_missing(members).collect()} == {2: (1, 1), 7: (0, 1)}
+    theories = spark.createDataFrame([("a1", "A", 1, True), ("a2", "A", 2, False), ("a3", "A", 0, True)], "theory string, name string, ts long, finished boolean")
+    assert migrate.newest_finished(theories).first()["theory"] == "a1"
+    moved = migrate.hash_change(spark.createDataFrame([("r", "a1"), ("s", "a2")], "uk string, theory string"), theories, F.col("name") == "A", "new")
+    assert [(r["uk"], r["theory"]) for r in moved.collect()] == [("r", "new")]
