@@ -611,3 +611,36 @@ def test_near_copies_edited_in_many_places_meet_all_their_links(spark):
     assert 20 < len({c for _, c in expected.values()}) < 200
     got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 80)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == expected
+
+
+def test_secret_spans_against_a_plain_model(spark):
+    samples = [(r["token"], r["secret"]) for r in secrets.labelled_samples(spark).collect()]
+    pairs, before = collections.Counter(), collections.Counter()
+    place = lambda c: secrets.ALPHABET.find(c) + 1
+    for token, secret in samples:
+        last = 0
+        for c in token:
+            pairs[secret, last, place(c)] += 1
+            before[secret, last] += 1
+            last = place(c)
+
+    def ratio(token):
+        last, total = 0, 0.0
+        for c in token:
+            chance = [(pairs[s, last, place(c)] + 0.5) / (before[s, last] + 0.5 * secrets.WIDTH) for s in (True, False)]
+            total += round(math.log(chance[0] / chance[1]), 4)
+            last = place(c)
+        return total
+
+    rng = random.Random(9)
+    chars = secrets.ALPHABET[:62]
+    texts = [*(t for t in SECRETS if t), *(" ".join(rng.choice([rng.choice(samples)[0], "".join(rng.choices(chars, k=rng.randint(8, 30))), "é plain,", "x_y"]) for _ in range(12)) for _ in range(60))]
+    rules = [("assign", secrets.ASSIGN), ("access", secrets.ACCESS), ("hex", secrets.HEX)]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secrets.train(secrets.labelled_samples(spark))).collect()}
+    found = 0
+    for i, text in enumerate(texts):
+        spans = [(m.start(), k, m.end(), kind) for k, (kind, rule) in enumerate(rules) for m in re.finditer(rule.replace("((?i:", "((?ai:"), text) if kind != "assign" or len(m[2]) >= 6]
+        own = [(m.start(), 3, m.end(), "markov") for m in re.finditer(secrets.CANDIDATE, text) if not any(a < m.end() and m.start() < b for a, _, b, _ in spans) and ratio(m[0]) >= secrets.THRESHOLD]
+        found += len(own)
+        assert got[i] == [(kind, a, b) for a, _, b, kind in sorted(spans + own)]
+    assert found > 50
