@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ._work import Workspace, read, tidy
+from ._work import Workspace, fresh, read, tidy
 from ._words import U64, chunks, hash_words, mix
 
 SAMPLE = 1500
@@ -209,8 +209,9 @@ def train_rows(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """The documents in a learned language: those without letters go, and those of whose n-grams no language has `least`."""
-    out = identify(docs, fit(docs), ("_lang_pred", "_lang_score"))
-    return out.filter((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= least)).select(*[f"`{c}`" for c in docs.columns])
+    pred, score = fresh(docs, "_lang_pred"), fresh(docs, "_lang_score")
+    out = identify(docs, fit(docs), (pred, score))
+    return out.filter((F.col(pred) != "und") & (F.col(score) >= least)).select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

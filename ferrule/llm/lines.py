@@ -8,7 +8,7 @@ decided by their estimates, which are off by less than that by many standard err
 
 Defined cases: null text has no lines and stays null; blank lines count as lines and always stay; a
 null source is no site; equal rows give equal rows; an empty table gives an empty result; other
-columns are kept by `remove`.
+columns are kept by `remove`, but that n_lines and n_removed take the place of columns with their names.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import Workspace, read
+from ._work import Workspace, fresh, read
 
 MIN_SITES = 10
 BAND = 0.25
@@ -46,15 +46,16 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND)
 def remove(docs: DataFrame, min_sites: int = MIN_SITES, band: float = BAND) -> DataFrame:
     """All columns; text without boilerplate lines, n_lines and n_removed."""
     bad = boilerplate(docs, min_sites, band)
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("_key"), F.posexplode(F.transform(split_lines(F.col("text")), lambda x: F.xxhash64(F.trim(x)))).alias("_at", "line"))
-    hits = rows.join(bad, "line", "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_k")).agg(F.collect_set("_at").alias("_gone"))
-    out = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left")
+    key, gone = fresh(docs, "_key"), fresh(docs, "_gone")
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    rows = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("_h"), F.posexplode(F.transform(split_lines(F.col("text")), lambda x: F.xxhash64(F.trim(x)))).alias("_at", "line"))
+    hits = rows.join(bad, "line", "left_semi").groupBy(F.col("doc_id").alias("_i"), "_h").agg(F.collect_set("_at").alias(gone))
+    out = keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["_i"]) & (keyed[key] == hits["_h"]), "left").select(*[keyed[f"`{c}`"] for c in docs.columns], hits[gone])
     lines = split_lines(F.col("text"))
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    kept = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     n = F.coalesce(F.size(lines), F.lit(0))
-    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    return out.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long"))).withColumn("text", kept).drop("_key", "_id", "_k", "_gone")
+    out = out.withColumns({"n_lines": F.when(F.col("text").isNull(), 0).otherwise(n).cast("long"), "n_removed": F.greatest(F.coalesce(F.size(gone), F.lit(0)).cast("long"), F.lit(0).cast("long"))})
+    return out.withColumn("text", kept).drop(gone)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

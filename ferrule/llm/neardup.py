@@ -270,7 +270,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = Links(slim, k, percent).run().filter("n > 0").select(F.col("doc_id").alias("_key"), "label").distinct()
     kept = found.join(first, "_key").groupBy("label").agg(F.min(F.struct("_id", "_key"))["_key"].alias("_key")).select("_key")
     wordy = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.filter(wordy).withColumn("_key", slim_key(docs)).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")  # so no other column can have a name in use here
+    rows = docs.filter(wordy).select(slim_key(docs).alias("_key"), whole).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select("_row.*")
     return rows.unionByName(docs.filter(~wordy))
 
 

@@ -644,3 +644,30 @@ def test_secret_spans_against_a_plain_model(spark):
         found += len(own)
         assert got[i] == [(kind, a, b) for a, _, b, kind in sorted(spans + own)]
     assert found > 50
+
+
+def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _key string, size long"
+    words_of = "the cat and the dog went up the hill to see the sun come over the old town again"
+    odd = [(None, words_of, "en", None, None, None, None), (None, words_of, "en", None, None, None, None), (1, None, "en", "a", None, "k", 1), (2, "", None, "a", 0, "k", 1), (3, "½ ²", "en", None, 1, "k", 1)]
+    odd += [(i, f"{words_of} number {i} of many things that are told in this place by all of them {i}", "en", "a", 9, "x", 2) for i in range(10, 40)]
+    for name, data in (("empty", []), ("odd", odd)):
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        if name == "empty":
+            assert got == []
+        else:
+            assert {r["doc_id"] for r in got} <= {None, *range(10, 40)} and len(got) >= 1 and not {1, 2, 3} & {r["doc_id"] for r in got}
+
+
+def test_columns_with_names_in_use(spark):
+    rows = [(i, f"some words of text {i % 3}\nline\nshared line", "en", f"s{i % 12}", "k", "g", 7, "b", 1, "p") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _key string, _gone string, n_removed int, base string, _row int, _lang_pred string")
+    out = lines.remove(df, 10).collect()
+    assert len(out) == 30 and all((r["_key"], r["_gone"], r["n_removed"], r["base"]) == ("k", "g", 3 if "some" not in r["text"] else 2, "b") for r in out)
+    assert neardup.keep_one(df).columns == df.columns and language.keep_identified(df).columns == df.columns and mixing.mix(df).columns == df.columns
+    got = secrets.scan(df, secrets.train(secrets.labelled_samples(spark))).first()
+    assert got["base"] == [] and got["_key"] == "k"
+    bench = spark.createDataFrame([(1, "other words")], "item_id long, text string")
+    assert decontaminate.clean(df, bench).columns == df.columns and decontaminate.clean(df, bench).count() == 30
