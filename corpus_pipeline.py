@@ -38,6 +38,12 @@ ORACLE_SQL = None  # no stage but the fourth is within SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that the stages keep: doc_id, start, n_tokens, ids_crc32.
+
+    Rows with null or letterless texts go at the first stage; null doc_id, source and lang stay as they are. Equal
+    rows are near-duplicates of each other, so one stays, the least doc_id (null first); the mix may repeat it. An
+    empty table, or one of which nothing stays, gives an empty result. Other columns go along up to the last stage.
+    """
     docs, work = read(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = work.save(stage(spark, docs, sf_dir), name)
