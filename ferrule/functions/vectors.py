@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +15,13 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once: what stands in a lambda is computed for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def encode_q15(v: Column) -> Column:
-    n = norm(v) + F.lit(1e-12)
-    return F.transform(v, lambda x: F.rint(F.lit(SCALE) * (x.cast("double") / n) * F.lit(float(ONE))).cast("int"))
+    return once(norm(v) + F.lit(1e-12), lambda n: F.transform(v, lambda x: F.rint(F.lit(SCALE) * (x.cast("double") / n) * F.lit(float(ONE))).cast("int")))
 
 
 def decode_q15(q: Column) -> Column:
@@ -32,8 +38,7 @@ def recover_cos(score: Column) -> Column:
 
 
 def normalize(v: Column) -> Column:
-    n = norm(v)
-    return F.when(n != 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return once(norm(v), lambda n: F.transform(v, lambda x: F.when(n != 0, x.cast("double") / n).otherwise(x.cast("double"))))
 
 
 def decode_checked(q: Column, dimension: int) -> Column:

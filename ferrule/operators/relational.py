@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import vectors
 
-QUERY_BLOCK = 1024
-ROW_BLOCK = 4096
+QUERY_BLOCK = 4096
+ROW_BLOCK = 1024
 PAIR_BLOCK = 1 << 16
 
 
