@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import records as rec
 from ferrule.operators import embedding, index, maintenance, upkeep
-from ferrule.sources import layers, shared, snapshot
+from ferrule.sources import archive, layers, shared, snapshot
 
 SCHEMAS = {
     "records": "uk string, theory string, kind int, name string, expr string, interpretation string, constituents array<string>, goal_patterns array<string>, persistent boolean",
@@ -210,12 +210,16 @@ class Store:
             self.drop_vectors(self.user("vectors").filter("not deleted").select("uk").join(self.view("records").select("uk"), "uk", "left_anti"))
         return new
 
+    def pull_channel(self, channel: str, package: str, prefix: str, force: bool = False) -> bool:
+        """Installs the newest build of a package."""
+        return self.pull(archive.fetch(self.spark, channel, package, f"{self.path}/downloads", prefix)[0], force)
+
     def dump_keys(self, path: str) -> None:
         self.view("records").select("uk").write.mode("overwrite").json(path)
 
 
 def main(argv: Sequence[str], spark: SparkSession) -> str:
-    """`python -m ferrule STORE COMMAND [ARGUMENT...]`: status, list, remove, prune, orphans, reindex, fsck, embed, pull, export."""
+    """`python -m ferrule STORE COMMAND [ARGUMENT...]`: status, list, remove, prune, orphans, reindex, fsck, embed, pull, export, fetch, pack, unpack."""
     path, command, *rest = argv
     store = Store(spark, path)
     flags, args = {x for x in rest if x.startswith("--")}, [x for x in rest if not x.startswith("--")]
@@ -227,6 +231,7 @@ def main(argv: Sequence[str], spark: SparkSession) -> str:
     commands = {
         "status": store.status, "reindex": store.reindex, "fsck": lambda: store.fsck("--fix" in flags), "remove": lambda: store.remove(args, "--dry-run" in flags), "prune": lambda: store.prune(int(args[0]), "--apply" not in flags),
         "embed": lambda: store.embed_missing(args[0], force="--force" in flags), "export": lambda: store.export(args[0]), "pull": lambda: store.pull(args[0], "--force" in flags),
+        "fetch": lambda: store.pull_channel(*args, force="--force" in flags), "pack": lambda: archive.pack(spark, *args), "unpack": lambda: archive.unpack(spark, *args),
     }
     if command not in commands:
         raise SystemExit(f"unknown command: {command}")
