@@ -7,6 +7,7 @@ is wrong are raised at once; others are tried again by `embedding.called`.
 from __future__ import annotations
 
 import json
+import re
 import time
 import urllib.error
 import urllib.request
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from ferrule.functions import vectors
 from ferrule.sources import archive, snapshot
 
+from . import embedding
+
 AGAIN = (408, 429)
 
 
@@ -91,8 +94,9 @@ class Settings:
 
 
 def checked(found: Sequence[Sequence[float]], n: int, dimension: int | None, normalize: bool) -> np.ndarray:
-    out = np.asarray(found, np.float32).reshape(n, -1) if len(found) == n else None
-    if out is None or (dimension and n and out.shape[1] != dimension):
+    """A row for each text, of the model's dimension where it is known."""
+    out = np.asarray(found, np.float32).reshape(n, -1 if n else dimension or 0) if len(found) == n else None
+    if out is None or (dimension and out.shape[1] != dimension):
         raise Refused("the service gave other vectors than were asked for")
     if normalize:
         size = np.linalg.norm(out, axis=1, keepdims=True)
@@ -166,6 +170,24 @@ class Reranker:
         return scores
 
 
+DRIVERS = {"openai": Embedder, "gemini": ContentEmbedder}
+
+
+def connect(driver: str, name: str, base: str, model: str, key: str | None = None, settings: Settings = Settings({})) -> Embedder:
+    """Registers a service as a provider. The address of a host that the settings list must end in a version."""
+    if driver not in DRIVERS:
+        raise KeyError(f"no driver {driver}; there are {', '.join(sorted(DRIVERS))}")
+    service = DRIVERS[driver](base, model, key, settings)
+    last = urlsplit(base).path.rstrip("/").rsplit("/", 1)[-1]
+    if service.host in (settings.values.get("providers") or {}) and not re.fullmatch(r"v\d+\w*", last):
+        raise ValueError(f"{service.host}: the address must end in the version of the interface, as in /v1")
+    return embedding.register(name)(service)
+
+
+def connect_reranker(name: str, base: str, model: str, key: str | None = None) -> Reranker:
+    return embedding.register(name, embedding.RERANKERS)(Reranker(base, model, key))
+
+
 # Jobs: texts go up as files of JSON lines, and come back as such some time later.
 
 
