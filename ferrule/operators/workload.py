@@ -13,6 +13,7 @@ ASK_FROM = 400  # fixed value: fewer records are done without asking
 BATCH = 20
 STALLED = 10
 RENEWED = 8
+TOGETHER = 16  # turns whose tables are read together before they are written as one
 
 Answer = Callable[[Sequence[Mapping]], Mapping]  # records to {key: interpretation} of those it answered
 
@@ -43,15 +44,15 @@ def cone(edges: DataFrame, roots: DataFrame, excluded: DataFrame, save: Callable
 
     Walks by level; paths through excluded nodes are cut short in turns that each double their length.
     """
-    seen = save(roots.select("node").distinct(), "seen-0")
-    near, turn = seen, 0
-    while True:
+    near, turn = save(roots.select("node").distinct(), "near-0"), 0
+    seen = near
+    while near.limit(1).count():
         turn += 1
-        new = near.join(edges, "node").select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti")
-        near = save(new, f"near-{turn}")
-        if not near.limit(1).count():
-            break
-        seen = save(seen.union(near), f"seen-{turn}")
+        near = save(near.join(edges, "node").select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti"), f"near-{turn}")
+        seen = seen.union(near)
+        if turn % TOGETHER == 0:
+            seen = save(seen, f"seen-{turn}")
+    seen = save(seen, "seen")
     out = excluded.select("node").distinct()
     inner = edges.join(seen, "node", "left_semi").select("node", "parent").distinct()
     through = out.select(F.col("node").alias("parent"))
@@ -60,6 +61,8 @@ def cone(edges: DataFrame, roots: DataFrame, excluded: DataFrame, save: Callable
     turn = 0
     while hops.filter("open").limit(1).count():
         turn += 1
+        if turn > 64:  # paths of 2^64 nodes
+            raise ValueError("the graph has a cycle")
         step = hops.select(F.col("node").alias("parent"), F.col("parent").alias("above"), F.col("open").alias("still"))
         further = hops.filter("open").join(step, "parent").select("node", F.col("above").alias("parent"), F.col("still").alias("open"))
         hops = save(hops.filter("not open").union(further).distinct(), f"hops-{turn}")
@@ -68,16 +71,20 @@ def cone(edges: DataFrame, roots: DataFrame, excluded: DataFrame, save: Callable
 
 def waves(nodes: DataFrame, edges: DataFrame, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(node, wave): a node's wave comes after those of all its parents; a cycle is an error. Nodes of a wave don't wait for each other."""
-    done, todo, wave = None, save(nodes.select("node").distinct(), "todo-0"), 0
-    while todo.limit(1).count():
-        waiting = edges.join(todo.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node").distinct()
-        ready = save(todo.join(waiting, "node", "left_anti").withColumn("wave", F.lit(wave)), f"wave-{wave}")
-        if not ready.limit(1).count():
+    todo, wave = nodes.select("node").distinct(), 0
+    done = todo.limit(0).withColumn("wave", F.lit(0))
+    while True:
+        blocked = edges.join(todo.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node").distinct().withColumn("blocked", F.lit(True))
+        step = save(todo.join(blocked, "node", "left"), f"wave-{wave}")  # one write for each wave, of what is left
+        ready, left = step.agg(F.count_if(F.col("blocked").isNull()), F.count("blocked")).first()
+        done = done.unionByName(step.filter("blocked is null").select("node", F.lit(wave).alias("wave")))
+        if not left:
+            return done
+        if not ready:
             raise ValueError("the graph has a cycle")
-        done = ready if done is None else done.unionByName(ready)
-        wave += 1
-        todo = save(todo.join(ready.select("node"), "node", "left_anti"), f"todo-{wave}")
-    return nodes.select("node").limit(0).withColumn("wave", F.lit(0)) if done is None else done
+        todo, wave = step.filter("blocked").select("node"), wave + 1
+        if wave % TOGETHER == 0:
+            done = save(done, f"done-{wave}")
 
 
 class Unanswered(RuntimeError):

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import lexer
+from ferrule.functions import prompts, terms
 from ferrule.functions import records as r
 from ferrule.functions import text as tx
 from ferrule.functions import vectors
 from ferrule.operators import embedding, graphs, search, upkeep
+from ferrule.operators import workload as work
 from ferrule.sources import codec, layers, shared
 
 from .queries import VIEW, Tables, query
@@ -416,3 +418,51 @@ def theory_hashes(t: Tables) -> DataFrame:
     nodes = t.part.select(k.alias("node"), F.col("p_name").alias("name"), F.col("p_type").alias("content"))
     edges = t.part.filter("p_partkey > 0").select(k.alias("node"), F.explode(F.array(F.struct(F.lit(0).alias("place"), F.floor(k / 2).alias("parent")), F.struct(F.lit(1).alias("place"), F.floor(k / 3).alias("parent")))).alias("e")).select("node", "e.place", "e.parent")
     return graphs.merkle(nodes, edges, shared.tables(t.spark, "hashes")).select("node", F.lower(F.hex("hash")).alias("hash"))
+
+
+def imports(t: Tables) -> DataFrame:
+    """Every part imports the half and the third of its key."""
+    k = F.col("p_partkey")
+    return t.part.filter("p_partkey > 0").select(k.alias("node"), F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("parent")).distinct()
+
+
+IMPORTS = "e AS (SELECT p_partkey AS node, p_partkey // 2 AS parent FROM part WHERE p_partkey > 0 UNION SELECT p_partkey, p_partkey // 3 FROM part WHERE p_partkey > 0)"
+
+
+@query(f"""WITH RECURSIVE {IMPORTS}, w AS (SELECT p_partkey AS node, 0 AS wave FROM part UNION SELECT e.node, wave + 1 FROM w JOIN e ON e.parent = w.node)
+SELECT node, max(wave)::INT AS wave FROM w GROUP BY node""")
+def import_waves(t: Tables) -> DataFrame:
+    """The order in which parts can be done, those of a wave side by side."""
+    return work.waves(t.part.select(F.col("p_partkey").alias("node")), imports(t), shared.tables(t.spark, "waves"))
+
+
+@query(f"""WITH RECURSIVE {IMPORTS}, r AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 7 = 3), s AS (SELECT node FROM r UNION SELECT e.parent FROM s JOIN e ON e.node = s.node),
+h AS (SELECT e.node, e.parent FROM e JOIN s ON s.node = e.node UNION SELECT h.node, e.parent FROM h JOIN e ON e.node = h.parent WHERE h.parent % 5 = 2)
+SELECT DISTINCT node, parent FROM h WHERE node % 5 <> 2 AND parent % 5 <> 2""")
+def import_cone(t: Tables) -> DataFrame:
+    """What some parts need, with excluded parts walked through."""
+    key = F.col("p_partkey").alias("node")
+    return work.cone(imports(t), t.part.filter("p_partkey % 7 = 3").select(key), t.part.filter("p_partkey % 5 = 2").select(key), shared.tables(t.spark, "cone"))[1]
+
+
+@query("""SELECT p_partkey, 4 + (p_type LIKE 'PROMO%')::INT AS size, p_size = 1 AS same, p_type LIKE 'PROMO%' AS promo, p_size > 25 AS listed,
+CASE WHEN p_size > 25 THEN 'list;' ELSE '' END || 'nat;' AS types FROM part""")
+def term_patterns(t: Tables) -> DataFrame:
+    """Formulas made of parts' columns, by their size, patterns and types."""
+    nat, listed = '["t","nat"]', '["t","list",["t","nat"]]'
+    kind = F.when(F.col("p_size") > 25, F.lit(listed)).otherwise(F.lit(nat))
+    left = F.concat(F.lit('["c","n'), F.col("p_size").cast("string"), F.lit(f'",{nat}]'))
+    body = F.concat(F.lit(f'["a",["c","eq",{nat}],'), left, F.lit(f',["c","n1",{nat}],["f",'), F.expr("substring(to_json(array(p_brand)), 2, length(to_json(array(p_brand))) - 2)"), F.lit(","), kind, F.lit("]]"))
+    formula = F.when(F.col("p_type").startswith("PROMO"), F.concat(F.lit(f'["l","x",{nat},'), body, F.lit("]"))).otherwise(body)
+    rows = t.part.select("p_partkey", formula.alias("f"))
+    m = terms.matches(F.col("f"), [f'["a",["c","eq",{nat}],["v","x",{nat}],["v","x",{nat}]]', f'["l","y",{nat},["a",["c","eq",{nat}],["v","a",{nat}],["v","b",{nat}],["v","c",{nat}]]]'], [listed])
+    names = F.array_join(F.transform(F.filter(terms.dependencies(F.col("f")), lambda d: d["kind"] == "type"), lambda d: F.concat(d["name"], F.lit(";"))), "")
+    return rows.select("p_partkey", terms.size(F.col("f")).alias("size"), m.alias("m"), names.alias("types")).select("p_partkey", "size", F.col("m")[0].alias("same"), F.col("m")[1].alias("promo"), F.col("m")[2].alias("listed"), "types")
+
+
+@query(r"""SELECT item_id, '#Fact' || chr(10) || CASE WHEN len(w) <= 57 THEN '###Variables' || chr(10) || 'set' || chr(10) || chr(10) || '###Statement' || chr(10) || text
+ELSE '###Variables set ###Statement ' || array_to_string(list_slice(w, 1, 57), ' ') END AS prompt
+FROM (SELECT item_id, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM benchmark)""")
+def fact_prompts(t: Tables) -> DataFrame:
+    """Items as facts of 60 words at most."""
+    return t.benchmark.select("item_id", prompts.facts(F.col("text"), F.array(F.lit("set")), F.lit(None).cast("string"), 60).alias("prompt"))
