@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, html, language, lines, lm, media, mixing, neardup, secrets, tokens
+from . import decontaminate, html, language, lines, lm, media, mixing, neardup, secrets, tokens, upsert
 
 QUERIES = {
     "op1_line_spread": lines.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_minhash": neardup.query,
     "op9_string_tiling": decontaminate.query,
     "op10_transport_stream": media.query,
+    "op11_keyed_upsert": upsert.query,
 }
 SQL = {"op1_line_spread": lines.SQL, "op2_mixing": mixing.SQL}
