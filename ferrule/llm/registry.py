@@ -1,6 +1,6 @@
 """Queries of this subpackage and the SQL of those that SQL can express."""
 
-from . import decontaminate, html, language, lines, lm, media, mixing, neardup, periodic, secrets, tokens, upsert
+from . import decontaminate, html, language, lines, lm, media, mixing, neardup, periodic, secrets, tokens, toxicity, upsert
 
 QUERIES = {
     "op1_line_spread": lines.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_string_tiling": decontaminate.query,
     "op10_transport_stream": media.query,
     "op11_keyed_upsert": upsert.query,
+    "op12_toxicity": toxicity.query,
     "op13_word_runs": periodic.query,
 }
 SQL = {"op1_line_spread": lines.SQL, "op2_mixing": mixing.SQL}
