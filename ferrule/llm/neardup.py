@@ -23,7 +23,8 @@ shingles; a table's key joins one hash of either collection, so 2 m R minhashes
 
 Defined cases: null or empty text: empty set, linked with nothing; fewer words than a shingle: the
 whole sequence is the one shingle; equal rows are one class; rows without doc_id are linked but give
-no component name, unless alone (null); other columns are kept by `keep_one`.
+no component name, unless alone (null); rows that share a doc_id are texts of their own, each with its
+links; a long text is one set, whole; other columns are kept by `keep_one`.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ class Links:
         return self.work.save(self.docs.mapInArrow(tidy(lambda it: _signed(it, k, m)), "doc_id long, n long, h1 long, h2 long, keys array<long>"), "signed")  # the one pass over all texts
 
     def sets(self, nodes: DataFrame) -> DataFrame:
-        """Full sets of those documents; a class needs one row of its doc_id."""
+        """Full sets of those classes, each from a row of its doc_id that holds this set."""
         k = self.k
         texts = self.docs.join(nodes, self.docs["doc_id"].eqNullSafe(nodes["least"])).select("node", "text", "n", "h1", "h2")
         rows = texts.mapInArrow(tidy(lambda it: _sets(it, k)), "node long, shingles binary")
@@ -231,7 +232,7 @@ class Links:
         """Rows of the documents: doc_id, n, h1, h2, component_id and label (null for empty sets)."""
         signed = self.signatures()
         same = signed.filter("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"))
-        self.classes = self.work.save(same.withColumn("node", F.coalesce("least", "h1")), "classes")
+        self.classes = self.work.save(same.withColumn("node", F.xxhash64("n", "h1", "h2")), "classes")  # a number of its own, as sets may share a doc_id
         tables = self.classes.select("node", "n", F.explode("keys").alias("key"))
         many = tables.groupBy("key").agg(F.count("*").alias("classes")).filter("classes > 1")
         shared = self.work.save(tables.join(many, "key"), "keys")

@@ -288,3 +288,13 @@ def test_toxicity_finds_planted_words(spark):
     none = toxicity.learn(d.limit(0), y.limit(0))
     assert toxicity.score(d.limit(0), none).count() == 0
     assert len({r["score"] for r in toxicity.score(d, toxicity.learn(d, y.filter("toxic = 0"))).collect()}) == 1
+
+
+def test_texts_that_share_a_doc_id_keep_their_links(spark):
+    from ferrule.llm import neardup
+
+    first = " ".join(f"a{i}" for i in range(40))
+    second = " ".join(f"b{i}" for i in range(40))
+    rows = [(5, first), (5, second), (8, second + " more"), (9, first + " more"), (9, "other words altogether here"), (12, None)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(5, 38, 5), (5, 38, 5), (8, 39, 5), (9, 2, 9), (9, 39, 5), (12, 0, 12)]
