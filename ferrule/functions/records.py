@@ -79,11 +79,22 @@ def live_name(name: Column, live: Column, collection: Column | None = None) -> C
     return F.when(collection.isNotNull() & live.rlike(r"\(\d+\)$"), live).otherwise(name)
 
 
+# How rules are named. A base name that ends in the letter counts if no capital stands before it.
+RULE_ENDS = {
+    "introduction": ("I", ("_intro", ".intro", "_intros", ".intros")),
+    "elimination": ("E", ("_elim", ".elim", "_elims", ".elims", "_dest", ".dest")),
+}
+BASE_ENDS = {"induction": ("_induct", "_ind"), "case_split": ("_cases", "_case")}
+
+
 def rule_class(name: Column) -> Column:
-    """By the end of a rule's name; the first that fits."""
-    base = F.lower(F.substring_index(name, ".", -1))
-    fits = lambda *ends: F.exists(F.array(*map(F.lit, ends)), lambda e: base.endswith(e))
-    return F.when(fits("induct", "induction"), "induction").when(fits("cases", "exhaust"), "case_split").when(fits("i", "intro", "intros"), "introduction").when(fits("e", "elim", "elims"), "elimination")
+    """By the end of a rule's name, the first that fits: induction, case split, introduction, elimination."""
+    base = F.substring_index(name, ".", -1)
+    ends = lambda c, words: F.exists(F.array(*map(F.lit, words)), lambda e: c.endswith(e))
+    out = F.when(ends(base, BASE_ENDS["induction"]), "induction").when(ends(base, BASE_ENDS["case_split"]), "case_split")
+    for kind, (letter, words) in RULE_ENDS.items():
+        out = out.when(base.rlike(rf"(?s)[^A-Z]{letter}\z") | ends(name, words), kind)
+    return out
 
 
 def kinds_phrase(kinds: Column, phrases: Mapping[str, str], default: str = "constructs") -> Column:
@@ -189,7 +200,7 @@ def human_bytes(n: Column) -> Column:
 def infrastructure(name: Column, attributes: dict[str, Column], preserved: Column, declared: Column) -> Column:
     """A helper nobody searches for: declared as one, or not to be preserved and concealed, hidden or named like one."""
     base = F.substring_index(name, ".", -1)
-    named = name.contains(".class.") | name.contains("??.") | base.rlike(r"^(Abs|Rep)_") | base.endswith("_class") | base.rlike(r"^(rec|case|size|set|map|rel|pred)_")
+    named = name.contains(".class.") | name.contains("??.") | base.rlike(r"^(Abs|Rep)_") | base.endswith("_class")
     marks = F.lit(False)
     for c in attributes.values():
         marks = marks | F.coalesce(c, F.lit(False))

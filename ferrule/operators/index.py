@@ -12,6 +12,11 @@ def build(rows: DataFrame, key: str, parts: str) -> DataFrame:
     return known.distinct()
 
 
+def of_entries(entries: DataFrame, key: str, part: str) -> DataFrame:
+    """(key, part) from single entries, repeated or not; a null part is a key without constituents."""
+    return entries.select(key, F.col(part).alias("part")).distinct()
+
+
 def candidates(index: DataFrame, loaded: DataFrame) -> DataFrame:
     """Keys with a loaded constituent, and those always available."""
     key = next(c for c in index.columns if c != "part")

@@ -252,12 +252,20 @@ def theory_tests(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", done.alias("interpreted"), r.belongs(k, F.array(n), F.array(*(F.lit(x).cast("long") for x in (1, 5, 7)))).alias("belongs"), r.in_scope(theories, ["HOL", "Main"]).alias("scoped"))
 
 
-@query("""WITH e AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'a.foo_induct' WHEN 1 THEN 'a.bar.cases' WHEN 2 THEN 'x.conjI' WHEN 3 THEN 'x.conjE' WHEN 4 THEN 'Abs_' || p_brand ELSE 'plain_lemmas_x' END AS name, p_size FROM part)
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'induction' WHEN 1 THEN 'case_split' WHEN 2 THEN 'introduction' WHEN 3 THEN 'elimination' END AS class, p_size = 7 OR (p_size <> 9 AND (p_size % 10 = 0 OR p_partkey % 6 = 4)) AS infra FROM e""")
+RULE_NAMES = ("foo_induct", "bar.cases", "conjI", "conjE", "size_multi", "bridge", "foo_rule", "ex.intros", "x_dest", "fooOI", "wf_ind", "z_case", "I", "plain", "E.elims", "someE")
+
+
+@query(f"""WITH e AS (SELECT p_partkey, p_size, replace(p_name, ' ', '.') || '.' || [{", ".join(f"'{x}'" for x in RULE_NAMES)}][1 + p_partkey % {len(RULE_NAMES)}] AS name FROM part UNION ALL SELECT -p_partkey, p_size, 'Abs_' || replace(p_type, ' ', '_') FROM part),
+b AS (SELECT *, string_split(name, '.')[-1] AS base FROM e)
+SELECT p_partkey, CASE WHEN base SIMILAR TO '.*_(induct|ind)' THEN 'induction' WHEN base SIMILAR TO '.*_(cases|case)' THEN 'case_split' WHEN base SIMILAR TO '.*[^A-Z]I' OR name SIMILAR TO '.*[_.]intros?' THEN 'introduction'
+WHEN base SIMILAR TO '.*[^A-Z]E' OR name SIMILAR TO '.*[_.](elims?|dest)' THEN 'elimination' END AS class, p_size = 7 OR (p_size <> 9 AND (p_size % 10 = 0 OR starts_with(name, 'Abs_'))) AS infra FROM b""")
 def rules_and_helpers(t: Tables) -> DataFrame:
+    """Names made of those of parts, with all kinds of ends."""
     k, size = F.col("p_partkey"), F.col("p_size")
-    name = F.when(k % 6 == 0, "a.foo_induct").when(k % 6 == 1, "a.bar.cases").when(k % 6 == 2, "x.conjI").when(k % 6 == 3, "x.conjE").when(k % 6 == 4, F.concat(F.lit("Abs_"), "p_brand")).otherwise("plain_lemmas_x")
-    return t.part.select("p_partkey", r.rule_class(name).alias("class"), r.infrastructure(name, {"concealed": size % 10 == 0}, size == 9, size == 7).alias("infra"))
+    end = F.element_at(F.array(*map(F.lit, RULE_NAMES)), (k % len(RULE_NAMES) + 1).cast("int"))
+    rules = t.part.select(k, size, F.concat(F.replace("p_name", F.lit(" "), F.lit(".")), F.lit("."), end).alias("name"))
+    made = t.part.select((-k).alias("p_partkey"), size, F.concat(F.lit("Abs_"), F.replace("p_type", F.lit(" "), F.lit("_"))).alias("name"))
+    return rules.union(made).select("p_partkey", r.rule_class(F.col("name")).alias("class"), r.infrastructure(F.col("name"), {"concealed": size % 10 == 0}, size == 9, size == 7).alias("infra"))
 
 
 @query(r"""WITH n AS (SELECT p_partkey, p_size % 9 AS kind, CASE WHEN p_partkey % 4 = 0 THEN p_brand || '(' || p_size || ')' ELSE p_brand END AS name, CASE WHEN p_partkey % 3 = 0 THEN p_partkey END AS position FROM part)

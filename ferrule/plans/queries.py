@@ -145,17 +145,20 @@ def set_containment(t: Tables) -> DataFrame:
 INDEXED = "SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN l_suppkey END AS s FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"
 
 
+def entries(t: Tables) -> DataFrame:
+    """Orders by supplier, as often as lines say so; every thirteenth has an empty list of constituents and is always available."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
+    rows = t.orders.select("o_orderkey").join(lines, "o_orderkey", "left")
+    return rows.select("o_orderkey", F.when(F.col("o_orderkey") % 13 != 0, F.col("l_suppkey")).alias("part"))
+
+
 def postings(t: Tables) -> DataFrame:
-    """Orders by supplier; every thirteenth has an empty list of constituents and is always available."""
-    lists = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_set("l_suppkey").alias("s"))  # an order's few lines
-    empty = F.array().cast("array<bigint>")
-    rows = t.orders.select("o_orderkey").join(lists, "o_orderkey", "left")
-    return index.build(rows.withColumn("s", F.when(F.col("o_orderkey") % 13 == 0, empty).otherwise(F.coalesce("s", empty))), "o_orderkey", "s")
+    return index.of_entries(entries(t), "o_orderkey", "part")
 
 
 @query(f"SELECT DISTINCT o_orderkey FROM ({INDEXED}) WHERE s IS NULL OR s IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
 def index_candidates(t: Tables) -> DataFrame:
-    return index.candidates(postings(t), t.supplier.filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("part")))
+    return index.candidates(entries(t), t.supplier.filter("s_acctbal > 5000").select(F.col("s_suppkey").alias("part")))
 
 
 @query(f"SELECT s AS part, count(DISTINCT o_orderkey) AS n, min(o_orderkey) AS low FROM ({INDEXED}) GROUP BY s")

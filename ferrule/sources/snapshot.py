@@ -128,18 +128,27 @@ def heal(spark: SparkSession, target: str) -> None:
             fs.rename(old, at)
 
 
+# What Spark and Parquet say of a file that isn't readable as such.
+DAMAGED = ("is not a Parquet file", "Could not read footer", "CANNOT_READ_FILE_FOOTER", "CANNOT_READ_FOOTER", "ParquetDecodingException", "Corrupted file", "corrupt")
+
+
 def set_aside(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table that can't be read is moved aside and an empty one stands in its place; else the table."""
+    """A table with a damaged file is moved aside and an empty one stands in its place; else the table.
+
+    Any other failure, such as a lost executor, is raised and leaves the table where it is.
+    """
     try:
         df = spark.read.schema(schema).parquet(path)
         df.agg(F.count("*")).first()
         return df
-    except Exception:
-        fs, at = _fs(spark, path)
-        _, aside = _fs(spark, f"{path}.corrupt-{uuid.uuid4().hex}")
-        fs.rename(at, aside)
-        spark.createDataFrame([], schema).write.parquet(path)
-        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
+        if not any(x in str(e) for x in DAMAGED):
+            raise
+    fs, at = _fs(spark, path)
+    _, aside = _fs(spark, f"{path}.corrupt-{uuid.uuid4().hex}")
+    fs.rename(at, aside)
+    spark.createDataFrame([], schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def backup(spark: SparkSession, path: str, to: str, spare: float = 1.1) -> None:

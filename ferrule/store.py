@@ -39,13 +39,13 @@ class Store:
         return self.spark.read.schema(SCHEMAS[table]).parquet(at) if snapshot.exists(self.spark, at) else self.spark.createDataFrame([], SCHEMAS[table])
 
     def user(self, table: str) -> DataFrame:
-        """The last write of each key, with `deleted`."""
-        schema, at = f"{SCHEMAS[table]}, deleted boolean, seq long", f"{self.path}/user/{table}"
+        """The last write of each key, with `deleted`; of a key's rows in one call the last one."""
+        schema, at = f"{SCHEMAS[table]}, deleted boolean, seq long, place long", f"{self.path}/user/{table}"
         if not snapshot.exists(self.spark, at):
-            return self.spark.createDataFrame([], schema).drop("seq")
+            return self.spark.createDataFrame([], schema).drop("seq", "place")
         log = self.spark.read.schema(schema).parquet(at)
         rest = [c for c in log.columns if c not in KEYS[table]]
-        return log.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*rest), "seq").alias("_r")).select(*KEYS[table], "_r.*").drop("seq")
+        return log.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*rest), F.struct("seq", "place")).alias("_r")).select(*KEYS[table], "_r.*").drop("seq", "place")
 
     def view(self, table: str) -> DataFrame:
         user, system = self.user(table), self.system(table)
@@ -60,7 +60,7 @@ class Store:
         names = [f.split(" ")[0] for f in SCHEMAS[table].split(", ")]
         schema = self.spark.createDataFrame([], SCHEMAS[table]).schema
         full = rows.select(*(F.col(c).cast(schema[c].dataType) if c in rows.columns and c in have else F.lit(None).cast(schema[c].dataType).alias(c) for c in names))
-        full = full.withColumns({"deleted": F.lit(deleted), "seq": F.lit(time.time_ns())})
+        full = full.withColumns({"deleted": F.lit(deleted), "seq": F.lit(time.time_ns()), "place": F.monotonically_increasing_id()})
         saved = shared.tables(self.spark, "append")(full, table)  # rows may depend on the log they are written to
         saved.write.mode("append").parquet(f"{self.path}/user/{table}")
 
@@ -121,7 +121,7 @@ class Store:
             rows = rows.filter((F.col("kind") != rec.EXPERIENCE) | (F.size(F.array_except("constituents", have)) == 0))
         domain = rows.select("uk").distinct()
         self.embed_missing(provider, domain)
-        numbered = domain.withColumn("n", F.xxhash64("uk"))
+        numbered = shared.tables(self.spark, "knn")(domain.orderBy("uk").withColumn("n", F.monotonically_increasing_id()), "keys")  # in the order of keys, for ties
         have = self.view("vectors").filter(F.col("model") == provider).join(numbered, "uk").select(F.col("n").alias("vec_id"), "q")
         asked = embedding.embed(queries.select("query_id", "text"), "text", provider).select(F.col("query_id").alias("vec_id"), "q")
         from ferrule.operators.relational import top_k

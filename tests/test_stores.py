@@ -207,3 +207,34 @@ def test_migrations(spark, tmp_path):
     assert migrate.newest_finished(theories).first()["theory"] == "a1"
     moved = migrate.hash_change(spark.createDataFrame([("r", "a1"), ("s", "a2")], "uk string, theory string"), theories, F.col("name") == "A", "new")
     assert [(r["uk"], r["theory"]) for r in moved.collect()] == [("r", "new")]
+
+
+def test_integers_beside_nulls_stay_exact(spark):
+    kind = "kind int, name string, expr string, interpretation string, provenance map<string,string>, constituents array<struct<name:string,hash:binary>>, experience string, goal_patterns array<string>, digest binary, deps array<binary>, version long, interpreted_at long, position struct<file:string,line:int,col:int>, from_collection string"
+    rows = [(1, "a", None, None, {"k": "00ff"}, [("T", bytearray(b"h" * 16))], None, ["p"], None, [bytearray(b"d")], 2**53 + 1, None, ("f", 3, 4), None), (2, "b", None, None, None, None, None, None, None, None, None, 2**62 + 3, None, None)]
+    df = spark.createDataFrame(rows, kind).coalesce(1)
+    back = df.select(codec.decode(codec.encode(F.struct(*df.columns))).alias("r")).select("r.*").collect()
+    assert [(r["version"], r["interpreted_at"]) for r in back] == [(2**53 + 1, None), (None, 2**62 + 3)]
+    assert back[0]["constituents"][0]["name"] == "T" and back[0]["position"]["line"] == 3 and back[0]["provenance"] == {"k": "00ff"} and back[1]["constituents"] is None
+
+
+def test_damaged_bytes_are_dropped(spark):
+    nested = b"\x91" * 5000 + b"\xc0"
+    df = spark.createDataFrame([(bytearray(nested),), (bytearray(b"\x85\xa1"),), (bytearray(b"\xc1"),), (None,)], "v binary")
+    got = df.select(codec.decode(F.col("v")).alias("r"), codec.status(F.col("v")).alias("s")).collect()
+    assert all(r["r"]["kind"] is None and r["s"]["finished"] is None for r in got)
+
+
+def test_of_a_key_given_twice_the_last_row_wins(spark, tmp_path):
+    from ferrule.store import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    key = bytearray(b"k" * 16 + b"\x01x")
+    store.put(spark.createDataFrame([(key, 1, f"n{i}") for i in range(40)], "uk binary, kind int, name string").coalesce(1))
+    assert [r["name"] for r in store.user("records").collect()] == ["n39"]
+
+
+def test_a_passing_failure_leaves_a_table(spark, tmp_path):
+    with pytest.raises(Exception, match="(?i)no such|not exist|not found"):
+        snapshot.set_aside(spark, str(tmp_path / "absent"), "a long")
+    assert not list(tmp_path.glob("absent.corrupt*"))

@@ -83,15 +83,15 @@ def test_answers(spark):
 
 
 def test_prompts(spark):
-    goal = prompts.goal_text(["p one", "p two"], "c", ["x"], None, 100)
-    assert goal == "#Goal\n###Variables\nx\n\n###Premises\np one\n\np two\n\n###Conclusion\nc"
-    assert prompts.goal_text(["p one", "p two"], "c", ["x"], None, 6) == "#Goal\n###Variables\n\n###Premises\n\np two\n\n###Conclusion\nc"
-    assert prompts.goal_text([], "a b c d e f", [], None, 4) == "#Goal\n###Variables\n###Premises\n###Conclusion"
-    assert prompts.goal_text([], "a b c d e f", [], None, 2) == "#Goal\n###Variables ###Premises"
     context = "fact a b\n\n\ntheory T\n\n\nnotation n\n\n\nother\n\n\nclass c\n\n\nmuch too long for the limit\n\n\nx"
-    assert prompts.goal_text([], "c", [], context, 13) == "#Goal\ntheory T\n\nnotation n\n\nother\n\nfact a b\n\n###Variables\n###Premises\n###Conclusion\nc"
-    assert "theory" not in prompts.fact_text("s", [], context, 13) and prompts.fact_text("s", [], context, 3) == "#Fact\n###Variables\n###Statement\ns"
-    rows = spark.createDataFrame([(["p"], "c", None, None), (None, None, ["x"], "y"), (None, "c", [], "")], "p array<string>, c string, v array<string>, x string")
-    got = [r[0] for r in rows.select(prompts.goals(F.col("p"), F.col("c"), F.col("v"), F.col("x"), 50)).collect()]
-    assert got == [prompts.goal_text(["p"], "c", [], None, 50), None, prompts.goal_text([], "c", [], "", 50)]
+    rows = spark.createDataFrame([(["p one", "p two"], "c", ["x"], None), ([], "a b c d e f", [], None), ([], "c", [], context), (["p"], "c", None, None), (None, None, ["x"], "y"), (None, "c", [], "")], "p array<string>, c string, v array<string>, x string")
+    goal = lambda limit: [r[0] for r in rows.select(prompts.goals(F.col("p"), F.col("c"), F.col("v"), F.col("x"), limit)).collect()]
+    fact = lambda limit: [r[0] for r in rows.select(prompts.facts(F.col("c"), F.col("v"), F.col("x"), limit)).collect()]
+    whole = "#Goal\n###Variables\n###Premises\n###Conclusion\nc"
+    assert goal(100)[0] == "#Goal\n###Variables\nx\n\n###Premises\np one\n\np two\n\n###Conclusion\nc"
+    assert goal(6)[0] == "#Goal\n###Variables\n\n###Premises\n\np two\n\n###Conclusion\nc"
+    assert goal(4)[1] == "#Goal\n###Variables\n###Premises\n###Conclusion" and goal(2)[1] == "#Goal\n###Variables ###Premises"
+    assert goal(13)[2] == "#Goal\ntheory T\n\nnotation n\n\nother\n\nfact a b\n\n###Variables\n###Premises\n###Conclusion\nc"
+    assert goal(50)[3:] == ["#Goal\n###Variables\n###Premises\np\n\n###Conclusion\nc", None, whole]
+    assert "theory" not in fact(13)[2] and fact(3)[2] == "#Fact\n###Variables\n###Statement\nc" and fact(3)[1] == "#Fact\n###Variables ###Statement a"
     assert spark.range(1).select(prompts.plain(F.lit("a::type b__ ‹c›"))).first()[0] == 'a b "c"'
