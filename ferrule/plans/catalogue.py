@@ -291,12 +291,12 @@ def decoded_vectors(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", F.round(F.aggregate(vectors.decode_checked(q, 64), F.lit(0.0), lambda a, x: a + x), 9).alias("total"))
 
 
-@query("""WITH d AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents WHERE lang = 'en'), tf AS (SELECT doc_id, w, count(*) AS tf FROM d WHERE w <> '' GROUP BY ALL), n AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id),
+@query("""WITH d AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents), tf AS (SELECT doc_id, w, count(*) AS tf FROM d WHERE w <> '' GROUP BY ALL), n AS (SELECT doc_id, sum(tf) AS len FROM tf GROUP BY doc_id),
 a AS (SELECT count(*) AS docs, avg(len) AS mean FROM n), q AS (SELECT DISTINCT item_id, w FROM (SELECT item_id, unnest(string_split(lower(text), ' ')) AS w FROM benchmark) WHERE w <> ''), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
 s AS (SELECT item_id, doc_id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM q JOIN tf USING (w) JOIN df USING (w) JOIN n USING (doc_id), a GROUP BY ALL)
 SELECT item_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s) WHERE r <= 10""")
 def bm25(t: Tables) -> DataFrame:
-    return search.bm25(t.documents.filter("lang = 'en'").select("doc_id", F.split(F.lower("text"), " ").alias("words")), t.benchmark.select("item_id", F.split(F.lower("text"), " ").alias("words")), "doc_id", "item_id", 10)
+    return search.bm25(t.documents.select("doc_id", F.split(F.lower("text"), " ").alias("words")), t.benchmark.select("item_id", F.split(F.lower("text"), " ").alias("words")), "doc_id", "item_id", 10)
 
 
 @query("""WITH p AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey), k AS (SELECT *, row_number() OVER (ORDER BY n DESC, o_custkey) AS r FROM p)
