@@ -262,7 +262,7 @@ class Jobs:
         else:
             job = {"input_file_id": file, "endpoint": "/v1/embeddings", "completion_window": "24h"}
         sent = json.loads(send(self.origin + self.rules["endpoint"], job, self.service.headers()))["id"]
-        snapshot._write_text(spark, note, json.dumps({"id": sent}))
+        snapshot.write_text(spark, note, json.dumps({"id": sent}))
 
     def collect(self, spark: SparkSession, name: str) -> None:
         """Waits for a job and writes its answers; a job that failed is an error, and sent anew by the next run."""

@@ -406,12 +406,32 @@ def record_codec(t: Tables) -> DataFrame:
     return codec.records(store).select(F.decode(F.substring("uk", 17, 20), "utf-8").cast("long").alias("doc_id"), "kind", "name", F.md5("interpretation").alias("digest"), "version", F.col("position.line").alias("line"))
 
 
-@query("")
+def tokens_sql(table: str, key: str) -> str:
+    """Subtokens by the asset's classes, as far as code points of Latin texts go."""
+    asset, top = lexer.default_asset(), 0x250
+    points = lambda low, high: f"\\x{{{low:x}}}-\\x{{{high:x}}}"
+    cls = lambda name: "".join(points(a, min(b, top)) for a, b in asset[name] if a < top)
+    each = lambda text: "".join(points(ord(c), ord(c)) for c in text)
+    plain = "".join(points(c, c) for a, b in asset["digits"] for c in range(a, min(b, top) + 1) if chr(c) not in asset["rendered_digits"])
+    token = f"[{cls('letters')}][{cls('letters')}{cls('digits')}{each(asset['quasi_letters'])}]*|[{plain}]+|[{each(asset['ascii_symbolic'])}]+|[^{cls('spaces')}{each(asset['discarded'])}]"
+    return f"""WITH t AS (SELECT {key}, unnest(regexp_extract_all(nfc_normalize(text), '{token}')) AS tok FROM {table}),
+p AS (SELECT {key}, tok, list_filter(string_split_regex(tok, '[{each(asset['separators'])}]'), lambda x: x <> '') AS p FROM t),
+s AS (SELECT {key}, unnest(CASE WHEN len(p) > 0 THEN p WHEN regexp_full_match(tok, '[{each(asset['rendered_subsup'])}]+') THEN [tok] ELSE [] END) AS token FROM p)
+SELECT token, count(DISTINCT {key}) AS n FROM s GROUP BY token"""
+
+
+@query(tokens_sql("benchmark", "item_id"))
 def subtokens(t: Tables) -> DataFrame:
     """Words of formulas in all item texts, by how many items have them."""
     return t.benchmark.select(F.explode(F.array_distinct(lexer.subtokens_of(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
+@query(tokens_sql("documents", "doc_id"))
+def document_tokens(t: Tables) -> DataFrame:
+    """The same of all documents, whole."""
+    return t.documents.select(F.explode(F.array_distinct(lexer.subtokens_of(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+
+
 @query("")
 def search_after_embedding(t: Tables) -> DataFrame:
     """All items against all documents; documents without a vector get one first."""

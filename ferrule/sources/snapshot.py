@@ -50,9 +50,18 @@ def find(spark: SparkSession, folders: Sequence[str]) -> str | None:
     return next((x for x in folders if is_valid(read_manifest(spark, x))), None)
 
 
-def digest(df: DataFrame) -> int:
-    """A number for a table's rows in any order."""
-    return df.select(F.xxhash64(*sorted(df.columns)).alias("h")).agg(F.coalesce(F.bit_xor("h"), F.lit(0))).first()[0]
+def row_hash(df: DataFrame) -> tuple:
+    """Two independent numbers of 60 bits for a row, by its columns in order of name; text and null differ."""
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]))
+    both = F.sha2(text, 256)
+    return tuple(F.conv(F.substring(both, at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 16))
+
+
+def digest(df: DataFrame) -> str:
+    """Of a table's rows in any order, each as often as it stands: two sums of hashes and the number of rows."""
+    a, b = row_hash(df)
+    got = df.agg(F.coalesce(F.sum(a), F.lit(0)).alias("a"), F.coalesce(F.sum(b), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    return f"{int(got['a']):x}-{int(got['b']):x}-{got['n']}"
 
 
 def export(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, gates: Mapping[str, DataFrame] | None = None) -> dict:
@@ -67,11 +76,11 @@ def export(spark: SparkSession, tables: Mapping[str, DataFrame], path: str, gate
         back = spark.read.schema(df.schema).parquet(f"{path}/{name}")
         stats[name] = {"entries": back.count(), "bytes": fs.getContentSummary(at).getLength(), "digest": digest(back)}
     manifest = {"schema_version": SCHEMA_VERSION, "vector_format": VECTOR_FORMAT, "tables": stats}
-    _write_text(spark, f"{path}/{MANIFEST}", json.dumps(manifest, sort_keys=True))
+    write_text(spark, f"{path}/{MANIFEST}", json.dumps(manifest, sort_keys=True))
     return manifest
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, at = _fs(spark, path)
     out = fs.create(at, True)
     try:
@@ -80,6 +89,11 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """One small file, whole."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def check(spark: SparkSession, path: str) -> dict:
     """The manifest, if every table has the rows that it states."""
     manifest = read_manifest(spark, path)
