@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.operators import paths
+
 ASK_FROM = 400  # fixed value: fewer records are done without asking
 BATCH = 20
 STALLED = 10
@@ -71,20 +73,11 @@ def cone(edges: DataFrame, roots: DataFrame, excluded: DataFrame, save: Callable
 
 def waves(nodes: DataFrame, edges: DataFrame, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(node, wave): a node's wave comes after those of all its parents; a cycle is an error. Nodes of a wave don't wait for each other."""
-    todo, wave = nodes.select("node").distinct(), 0
-    done = todo.limit(0).withColumn("wave", F.lit(0))
-    while True:
-        blocked = edges.join(todo.withColumnRenamed("node", "parent"), "parent", "left_semi").select("node").distinct().withColumn("blocked", F.lit(True))
-        step = save(todo.join(blocked, "node", "left"), f"wave-{wave}")  # one write for each wave, of what is left
-        ready, left = step.agg(F.count_if(F.col("blocked").isNull()), F.count("blocked")).first()
-        done = done.unionByName(step.filter("blocked is null").select("node", F.lit(wave).alias("wave")))
-        if not left:
-            return done
-        if not ready:
-            raise ValueError("the graph has a cycle")
-        todo, wave = step.filter("blocked").select("node"), wave + 1
-        if wave % TOGETHER == 0:
-            done = save(done, f"done-{wave}")
+    rows = nodes.select("node").distinct().withColumn("base", F.lit(0).cast("long"))
+    known = rows.select(F.col("node").alias("parent"))
+    up = edges.join(known, "parent", "left_semi").select(F.col("node").alias("src"), F.col("parent").alias("dst"), F.lit(1).cast("long").alias("w"))
+    up = up.join(rows.select(F.col("node").alias("src")), "src", "left_semi")
+    return paths.greatest(rows, up, save).select("node", F.col("value").cast("int").alias("wave"))
 
 
 class Unanswered(RuntimeError):

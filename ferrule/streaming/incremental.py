@@ -4,38 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ferrule.operators import paths
 from ferrule.sources import layers
 
 
 def effective_versions(nodes: DataFrame, edges: DataFrame, save: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """(node, eff): the greatest version over all that a node depends on, itself included; cycles are fine.
 
-    A node with one dependency holds a pointer that jumps twice as far each turn, so chains and cycles of
-    any length take turns as their logarithm; the others take the greatest over their dependencies. What lies
-    between a node and its pointer's end is in its value, so a turn that changes no value is the last one.
     A dependency that is no node counts 0 and leads nowhere. `save` writes a table to cut lineage.
     """
-    real = edges.select("src", "dst").distinct().join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
-    single = real.groupBy("src").agg(F.count("*").alias("_n"), F.min("dst").alias("next"))
-    state = nodes.join(single, nodes["node"] == single["src"], "left").select("node", F.coalesce("version", F.lit(0)).cast("long").alias("eff"), F.when(F.col("_n") == 1, F.col("next")).alias("next"))
-    state = save(state, "eff-0")
-    many = save(real.join(single.filter("_n > 1").select("src"), "src", "left_semi"), "edges")
-    turn = 0
-    while True:
-        turn += 1
-        far = state.select(F.col("node").alias("next"), F.col("eff").alias("_eff"), F.col("next").alias("_next"))
-        near = many.join(state.select(F.col("node").alias("dst"), "eff"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("eff").alias("near"))
-        none = F.lit(0).cast("long")
-        step = state.join(far, "next", "left").join(near, "node", "left")
-        step = step.select("node", F.col("eff").alias("old"), F.greatest("eff", F.coalesce("_eff", none), F.coalesce("near", none)).alias("eff"), F.coalesce("_next", "next").alias("next"))
-        seen = Observation()  # counted while the turn is written, so a turn is one job
-        state = save(step.observe(seen, F.count_if(F.col("eff") != F.col("old")).alias("moved")).select("node", "eff", "next"), f"eff-{turn}")
-        if not seen.get["moved"]:
-            return state.select("node", "eff")
+    real = edges.select("src", "dst").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").withColumn("w", F.lit(0).cast("long"))
+    rows = nodes.select("node", F.coalesce("version", F.lit(0)).cast("long").alias("base"))
+    return paths.greatest(rows, real, save, cyclic=True).withColumnRenamed("value", "eff")
 
 
 def stale(records: DataFrame) -> DataFrame:
