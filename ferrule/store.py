@@ -39,13 +39,13 @@ class Store:
         return self.spark.read.schema(SCHEMAS[table]).parquet(at) if snapshot.exists(self.spark, at) else self.spark.createDataFrame([], SCHEMAS[table])
 
     def user(self, table: str) -> DataFrame:
-        """The last write of each key, with `deleted`; of a key's rows in one call the last one."""
+        """The last write of each key, with `deleted`; of a key's rows in one call the last one. A null there takes an entry back."""
         schema, at = f"{SCHEMAS[table]}, deleted boolean, seq long, place long", f"{self.path}/user/{table}"
         if not snapshot.exists(self.spark, at):
             return self.spark.createDataFrame([], schema).drop("seq", "place")
         log = self.spark.read.schema(schema).parquet(at)
         rest = [c for c in log.columns if c not in KEYS[table]]
-        return log.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*rest), F.struct("seq", "place")).alias("_r")).select(*KEYS[table], "_r.*").drop("seq", "place")
+        return log.groupBy(*KEYS[table]).agg(F.max_by(F.struct(*rest), F.struct("seq", "place")).alias("_r")).select(*KEYS[table], "_r.*").filter("deleted is not null").drop("seq", "place")
 
     def view(self, table: str) -> DataFrame:
         user, system = self.user(table), self.system(table)
