@@ -10,7 +10,7 @@ from ferrule.functions import prompts, terms
 from ferrule.functions import records as r
 from ferrule.functions import text as tx
 from ferrule.functions import vectors
-from ferrule.operators import embedding, graphs, search, upkeep
+from ferrule.operators import embedding, graphs, ordering, search, upkeep
 from ferrule.operators import workload as work
 from ferrule.sources import codec, layers, shared
 
@@ -129,16 +129,15 @@ def two_quotas(t: Tables) -> DataFrame:
 
 @query("""SELECT l_orderkey, l_linenumber, r // 20 AS b20, r // 256 AS b256, r // 2048 AS b2048, r // 10000 AS b10000 FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS r FROM lineitem)""")
 def batch_sizes(t: Tables) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber")) - 1
-    return t.lineitem.select("l_orderkey", "l_linenumber", *(F.floor(n / s).alias(f"b{s}") for s in (20, 256, 2048, 10000)))
+    rows = ordering.placed(t.lineitem.select("l_returnflag", "l_orderkey", "l_linenumber"), ["l_returnflag"], [F.col("l_orderkey"), F.col("l_linenumber")], shared.tables(t.spark, "batches"))
+    return rows.select("l_orderkey", "l_linenumber", *(ordering.batch_of(s).alias(f"b{s}") for s in (20, 256, 2048, 10000)))
 
 
 @query("""SELECT p_partkey, name FROM (SELECT p_partkey, p_size, CASE WHEN count(*) OVER (PARTITION BY p_brand) = 1 THEN p_brand ELSE p_brand || '(' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) || ')' END AS name FROM part) WHERE p_size > 20""")
 def filtered_members(t: Tables) -> DataFrame:
     """Members are numbered in the whole bin, before any is left out."""
-    w = Window.partitionBy("p_brand")
-    n = F.row_number().over(w.orderBy("p_partkey")).cast("string")
-    return t.part.select("p_partkey", "p_size", F.when(F.count("*").over(w) == 1, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("("), n, F.lit(")"))).alias("name")).filter("p_size > 20").select("p_partkey", "name")
+    rows = ordering.placed(t.part.select("p_brand", "p_partkey", "p_size"), ["p_brand"], [F.col("p_partkey")], shared.tables(t.spark, "members"))
+    return rows.filter("p_size > 20").select("p_partkey", ordering.member_name(F.col("p_brand")).alias("name"))
 
 
 @query("""SELECT p_partkey, CASE WHEN name IS NULL THEN NULL ELSE kind END AS kind, name, known FROM (SELECT p.p_partkey, CASE WHEN d.doc_id IS NOT NULL THEN d.lang ELSE 'part' END AS kind, CASE WHEN d.doc_id IS NOT NULL THEN d.source WHEN p.p_partkey % 3 = 0 THEN p.p_name END AS name, d.doc_id IS NOT NULL AS known
@@ -307,8 +306,9 @@ def ranked_with_rest(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY serial NULLS LAST, kind_rank, p_name, p_partkey) AS place FROM (SELECT *, CASE WHEN p_size % 3 <> 0 THEN p_size END AS serial, CASE WHEN p_type LIKE 'STANDARD%' THEN 0 ELSE 1 END AS kind_rank FROM part)")
 def send_order(t: Tables) -> DataFrame:
-    order = Window.partitionBy("p_brand").orderBy(F.asc_nulls_last(F.when(F.col("p_size") % 3 != 0, F.col("p_size"))), F.when(F.col("p_type").startswith("STANDARD"), 0).otherwise(1), "p_name", "p_partkey")
-    return t.part.select("p_partkey", F.row_number().over(order).cast("long").alias("place"))
+    order = [F.asc_nulls_last(F.when(F.col("p_size") % 3 != 0, F.col("p_size"))), F.when(F.col("p_type").startswith("STANDARD"), 0).otherwise(1), F.col("p_name"), F.col("p_partkey")]
+    rows = ordering.placed(t.part.select("p_brand", "p_partkey", "p_size", "p_type", "p_name"), ["p_brand"], order, shared.tables(t.spark, "send"))
+    return rows.select("p_partkey", F.col("_place").alias("place"))
 
 
 @query("SELECT s_suppkey, coalesce(n_name, md5(CAST(s_suppkey AS VARCHAR))) AS shown FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON s_nationkey = n_nationkey ORDER BY shown, s_suppkey LIMIT 30")

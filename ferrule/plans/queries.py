@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text, vectors
-from ferrule.operators import index, relational
+from ferrule.operators import index, ordering, relational
 from ferrule.sources import layers, shared
 from ferrule.streaming import incremental
 
@@ -301,9 +301,8 @@ def gaps_and_islands(t: Tables) -> DataFrame:
 
 @query("SELECT p_partkey, CASE WHEN count(*) OVER (PARTITION BY p_brand) = 1 THEN p_brand ELSE p_brand || '(' || row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) || ')' END AS name FROM part")
 def member_names(t: Tables) -> DataFrame:
-    w = Window.partitionBy("p_brand")
-    n = F.row_number().over(w.orderBy("p_partkey"))
-    return t.part.select("p_partkey", F.when(F.count("*").over(w) == 1, F.col("p_brand")).otherwise(F.concat("p_brand", F.lit("("), n.cast("string"), F.lit(")"))).alias("name"))
+    rows = ordering.placed(t.part.select("p_brand", "p_partkey"), ["p_brand"], [F.col("p_partkey")], shared.tables(t.spark, "names"))
+    return rows.select("p_partkey", ordering.member_name(F.col("p_brand")).alias("name"))
 
 
 @query("SELECT o_orderstatus, o_orderkey, n::INTEGER AS n FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n <= 5")
