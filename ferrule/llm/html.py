@@ -5,10 +5,10 @@ log-odds from labelled pages (`_labelled_pages`). One scan finds the contiguous
 highest sum; the blocks in it are the text. What names itself as something else - menus, headers,
 footers, sidebars, notices, adverts, forms, comments, scripts, styles - is left out before the
 scan, wherever it stands: by its element, or by names whose parts, weighed by log-odds from the
-labelled pages, speak for it. `article` and `main` elements bound the regions where a page has any. A page
-is read in one pass, so a text of any length takes time in proportion.
+labelled pages, speak for it. `article` and `main` elements bound the regions where a page has any, one region for each.
+A page is read in one pass, so a text of any length takes time in proportion.
 
-Defined cases: null or empty html, or none but boilerplate, gives the empty string and 0; unclosed
+Defined cases: an empty table gives an empty result; null or empty html, or none but boilerplate, gives the empty string and 0; unclosed
 and stray tags are followed as far as they go; of regions with equal sums the first wins; repeated
 rows give equal rows; other columns are ignored.
 """
@@ -37,11 +37,11 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|aria-hidden|hr
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 # Names of elements.
 LEFT_OUT = set("nav footer aside form button menu dialog input label fieldset audio video".split())
-RAW = set("script style template noscript iframe svg math textarea select object canvas title".split())
+RAW = set("script style template noscript iframe svg textarea select object canvas title".split())
 TO_THE_END = set("script style textarea title".split())  # where these are not closed, they go on to the end of the page
 HEAD = set("html head meta title style script link base noscript template".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr math mrow mi mn mo ms mspace mtext mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle semantics".split())
 CONTAINERS = set("html body div section article main header footer nav aside form ul ol dl table tbody thead tfoot tr td th figure figcaption blockquote menu dialog details button label fieldset audio video center p li".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote figcaption dd".split())
 MAIN = set("article main".split())
@@ -276,9 +276,9 @@ def extract(page: str | None) -> str:
             scores.append(table.get(kind, CLAMP) * len(entities.unescape(value).split()))
         else:
             scores.append(table.get(kind, -CLAMP if kind.lstrip("/") in INLINE else other))
-    low, high = region(scores)
+    regions = [region(scores)]
     named = [i for i, (k, _) in enumerate(row) if k in MAIN]
-    if named:  # the best region inside an article, if one has any
+    if named:  # the best region of each article that has one
         spans, depth, begin = [], 0, 0
         for i, (k, _) in enumerate(row):
             if k in MAIN:
@@ -291,29 +291,29 @@ def extract(page: str | None) -> str:
         if depth:
             spans.append((begin, len(row)))
         flat = [x if k in TEXTS else -CLAMP for (k, _), x in zip(row, scores, strict=True)]  # inside an article a tag tells little
-        sums = []
+        best = []
         for a, b in spans:
             x, y = region(flat[a:b])
-            sums.append((sum(flat[a + x : a + y]), a + x, a + y))
-        top = max(sums, key=lambda t: t[0], default=(0.0, 0, 0))
-        if top[0] > 0:
-            low, high = top[1:]
+            if y > x:
+                best.append((a + x, a + y))
+        regions = best or regions
     # whole blocks: no block is cut
     breaks = lambda k: k not in TEXTS and k.lstrip("/") not in INLINE
-    while high > low and low and not breaks(row[low - 1][0]):
-        low -= 1
-    while high > low and high < len(row) and not breaks(row[high][0]):
-        high += 1
     blocks, block = [], []
-    for kind, value in [*row[low:high], ("/div", "")]:
-        if kind in TEXTS:
-            block.append(value)
-        elif kind in ("br", "/br"):
-            block.append(" ")
-        elif breaks(kind):
-            if text := " ".join(entities.unescape("".join(block)).split()):
-                blocks.append(text)
-            block = []
+    for low, high in regions:
+        while high > low and low and not breaks(row[low - 1][0]):
+            low -= 1
+        while high > low and high < len(row) and not breaks(row[high][0]):
+            high += 1
+        for kind, value in [*row[low:high], ("/div", "")]:
+            if kind in TEXTS:
+                block.append(value)
+            elif kind in ("br", "/br"):
+                block.append(" ")
+            elif breaks(kind):
+                if text := " ".join(entities.unescape("".join(block)).split()):
+                    blocks.append(text)
+                block = []
     return "\n\n".join(blocks)
 
 

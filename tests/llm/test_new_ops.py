@@ -298,3 +298,18 @@ def test_texts_that_share_a_doc_id_keep_their_links(spark):
     rows = [(5, first), (5, second), (8, second + " more"), (9, first + " more"), (9, "other words altogether here"), (12, None)]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == [(5, 38, 5), (5, 38, 5), (8, 39, 5), (9, 2, 9), (9, 39, 5), (12, 0, 12)]
+
+
+def test_every_article_and_formulas_stay():
+    from ferrule.llm import html
+
+    words = "Some words of a longer paragraph that says what happened and why it did."
+    page = f"<html><body><nav><a href=x>Home</a></nav><article><h2>One</h2><p>{words}</p></article><aside>Advert here</aside><article><h2>Two</h2><p>Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds. {words}</p></article><footer>Imprint</footer></body></html>"
+    assert html.extract(page) == f"One\n\n{words}\n\nTwo\n\nThen x=2 holds. {words}"
+    assert html.extract(page.replace("</article><aside>Advert here</aside><article>", "")) == html.extract(page)
+
+
+def test_no_pages(spark):
+    from ferrule.llm import html
+
+    assert html.extract_pages(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
