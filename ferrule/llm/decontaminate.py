@@ -13,7 +13,8 @@ Words are lower-cased runs of letters and digits; tiles are compared word by wor
 
 Defined cases: null and empty texts share nothing; an item with fewer than `RUN` words counts where
 all its words stand in the document in a row; equal items and repeated rows each give their own
-pairs; rows without an id keep a null; an empty table on either side gives no pairs; other columns
+pairs; rows without an id keep a null; an empty table on either side gives no pairs; long
+texts are compared whole; other columns
 are kept by `clean`.
 """
 

@@ -13,8 +13,8 @@ keeps quotations in other languages out; the `CAPACITY` most frequent go into it
 
 Defined cases: null text, or one without a letter: `und` with score 0; a text whose n-grams no
 filter holds takes the language with most sampled rows, score 0; ties go to the language with more
-sampled rows, then to the first by name; no labelled row: `und`; repeated rows count as rows; other
-columns are ignored.
+sampled rows, then to the first by name; no labelled row: `und`; repeated rows count as rows; long
+texts are read whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

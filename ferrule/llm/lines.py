@@ -7,7 +7,8 @@ decided by their estimates, which are off by less than that by many standard err
 `MIN_SITES` sites or more are taken out of all documents; the rest keeps its order.
 
 Defined cases: null text has no lines and stays null; blank lines count as lines and always stay; a
-null source is no site; equal rows give equal rows; an empty table gives an empty result; other
+null source is no site; equal rows give equal rows; a line on just as many sites as asked for goes;
+texts and lines of any length are read whole; an empty table gives an empty result; other
 columns are kept by `remove`, but that n_lines and n_removed take the place of columns with their names.
 """
 

@@ -22,7 +22,8 @@ rare words only meet in shuffles, by word (below 1 / HEAD of all tokens each) an
 
 Defined cases: null and empty texts are the end token alone; without training documents the score is
 the base score; equal rows score alike; rows without doc_id are held out of training (their fold is
-null); other columns are ignored.
+null); words tied in count are ordered by their hash; texts of any length are read whole; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ adaptation fields off, reassembles the elementary packets and reads times and ra
 
 Defined cases: null text is empty; an empty payload becomes one block of padding; a stream that is
 no multiple of 188 bytes, lacks a sync byte, or has no program is an error; a break in the
-continuity counter is counted, not hidden; equal payloads give equal streams; other columns are kept
+continuity counter is counted, not hidden; equal payloads give equal streams, so there are no ties; a
+long text is one stream, up to the 2 GB of a cell; an empty table gives an empty result; other columns are kept
 by `mux_column` and `demux_column` and never read.
 """
 

@@ -10,8 +10,8 @@ buckets find the bucket in which the target is reached, the same once more insid
 documents of that 2**-24 share of a source are put in order.
 
 Defined cases: null text has size 0; null is a source of its own, last in order; rows with equal
-doc_id stand next to each other in the order of size; a source without words has target 0; an empty
-table gives an empty result; other columns are kept by `mix` and never read.
+doc_id stand next to each other in the order of size; a source without words has target 0; long texts are counted whole;
+an empty table gives an empty result; other columns are kept by `mix` and never read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ Positions: splitting a text at a pattern gives the pieces between the matches th
 so running lengths of both are the matches' code-point positions.
 
 Defined cases: null or empty text has no spans, counts 0 and the digest of the empty string; equal
-starts are ordered assign, access, hex, markov; repeated rows give equal rows; other columns are
+starts are ordered assign, access, hex, markov; repeated rows give equal rows; long texts are read
+whole; an empty table gives an empty result; other columns are
 kept by `scan`, which adds only `spans` and `base`, in place of columns with these names.
 """
 

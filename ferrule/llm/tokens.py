@@ -19,7 +19,7 @@ table. Tests compare with the ids of whole texts.
 
 Defined cases: null text is empty and yields the end id alone; null doc_id sorts first; rows with
 equal doc_id are keys with ordinals 0, 1, ... in the order of their text's hash and text, counted on
-by `lookup` where tasks share a doc_id; an empty
+by `lookup` where tasks share a doc_id; a text of any length is one document, up to the 2 GB of a cell; an empty
 table gives no shards; other columns are ignored.
 """
 
