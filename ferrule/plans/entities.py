@@ -28,7 +28,7 @@ d AS (SELECT name FROM c GROUP BY name HAVING arg_max(p_partkey % 3 = 0, p_partk
 
 
 @query(f"""WITH {CONSTANTS}, b AS (SELECT *, string_split(name, '.')[-1] AS base FROM c), v AS (SELECT DISTINCT regexp_replace(name, '_class[.]x$', '.x') AS name FROM c WHERE regexp_matches(name, '_class[.]x$'))
-SELECT name, name IN (SELECT name FROM d) OR (NOT preserved AND (concealed OR starts_with(name, 'HOL.equal') OR starts_with(name, 'Tool.') OR (contains(name, '_inst.') AND p_type LIKE '%BRASS') OR name IN (SELECT name FROM v) OR starts_with(base, 'Abs_')
+SELECT name, name IN (SELECT name FROM d) OR (NOT preserved AND (concealed OR starts_with(name, 'HOL.equal') OR starts_with(name, 'Tool.') OR (contains(name, '_inst.') AND p_type LIKE 'PROMO%') OR name IN (SELECT name FROM v) OR starts_with(base, 'Abs_')
 OR (starts_with(name, 'Own.t') AND origin % 4 = 1 AND p_partkey % 8 = 5) OR contains(name, '.class.') OR (ends_with(base, '_class') AND is_prop))) AS helper FROM b""")
 def helper_constants(t: Tables) -> DataFrame:
     """Names made of those of parts, by all rules for constants."""
@@ -41,7 +41,7 @@ def helper_constants(t: Tables) -> DataFrame:
     said = rows.select(F.lit("constant").alias("what"), "name", "place", (F.col("place") % 50 != 7).alias("undo")).unionByName(rows.filter("place % 3 = 0").select(F.lit("constant").alias("what"), "name", (F.col("place") + 0.5).alias("place"), F.lit(True).alias("undo")))
     spark = t.spark
     prefixes = spark.createDataFrame([("HOL.equal",), ("Tool.",)], "prefix string")
-    types = t.part.filter(F.col("p_type").endswith("BRASS")).select(text("Lib.", under).alias("name"))
+    types = t.part.filter(F.col("p_type").startswith("PROMO")).select(text("Lib.", under).alias("name"))
     made = t.part.select(text("Own.t", size, ".").alias("prefix"))
     origins = t.part.filter("p_size % 4 = 1").select(size.alias("origin"))
     return helpers.constants(rows.drop("p_type"), said, prefixes, types, spark.createDataFrame([], "name string"), made, origins)
