@@ -36,10 +36,17 @@ def extend(base: DataFrame, extras: DataFrame, key: str, rest: Sequence[str], ki
 
 
 def instances(rows: DataFrame, templates: DataFrame, digest: str, name: str, suffix: str, key: str, template: str) -> DataFrame:
-    """(key, template, suffix): equal digests, names that end with the suffix, the longest first."""
-    fits = (F.col(name) == F.col(suffix)) | F.col(name).endswith(F.concat(F.lit("."), F.col(suffix)))
-    best = F.min(F.struct((-F.length(suffix)).alias("l"), F.col(template), F.col(suffix))).alias("_m")
-    return rows.join(templates, digest).filter(fits).groupBy(key).agg(best).select(key, f"_m.{template}", f"_m.{suffix}")
+    """(key, template, suffix): equal digests, names that end with the suffix, the longest first, then the least template.
+
+    A suffix that fits is the name from its start or from behind one of its dots, so both sides meet by equal keys, and of
+    templates with equal digests and suffixes only the least can be the best.
+    """
+    parts = F.split(name, r"\.", -1)
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    first = templates.groupBy(digest, suffix).agg(F.min(F.struct(template)).alias("_t"))
+    tails = rows.filter(F.col(name).isNotNull()).select(key, digest, F.explode(ends).alias(suffix))
+    best = F.min(F.struct((-F.length(suffix)).alias("l"), F.col(f"_t.{template}").alias(template), F.col(suffix))).alias("_m")
+    return tails.join(first, [digest, suffix]).groupBy(key).agg(best).select(key, f"_m.{template}", f"_m.{suffix}")
 
 
 def ranked_with_rest(groups: DataFrame, key: str, n: str, limit: int) -> DataFrame:
