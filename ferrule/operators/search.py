@@ -2,25 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrule.functions.text import SEP
+
 K1, B = 1.2, 0.75
 
 
+def said(words: str | Column) -> Column:
+    """How many words there are; empty ones are none."""
+    return F.size(F.filter(words, lambda w: w != ""))
+
+
+def totals(docs: DataFrame) -> tuple[int, float, bool]:
+    """Of (doc, words): documents with a word, their mean length, and whether a document has several rows."""
+    sizes = docs.select("doc", said("words").alias("size")).filter("size > 0").groupBy("doc").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
+    n = sizes.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), F.max("rows").alias("rows")).first()
+    return n["docs"], n["mean"] or 1.0, (n["rows"] or 0) > 1
+
+
+def dealt(docs: DataFrame, by: Column, repeated: bool) -> DataFrame:
+    """(part, doc, words, size): a row for each document, dealt by `by`, so that what is grouped by it needs no other shuffle.
+
+    A null doc is one document, which counts but is never found. Words travel as one text; those of a row in which a word
+    holds the separator stay an array.
+    """
+    rows = docs.filter(said("words") > 0)
+    held = F.array_join("words", "", "").contains(SEP)
+    sent = rows.select(by.alias("part"), "doc", F.when(~held, F.array_join("words", SEP, "")).alias("text"), F.when(held, F.col("words")).alias("list")).repartition("part")
+    out = sent.select("part", "doc", F.coalesce("list", F.split("text", SEP)).alias("words"))
+    if repeated:
+        out = out.groupBy("part", "doc").agg(F.flatten(F.collect_list("words")).alias("words"))
+    return out.select("part", "doc", "words", said("words").alias("size"))
+
+
+def impact(mean: float) -> Column:
+    """A posting's part of the score without the word's weight."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / mean))
+
+
+def weight(docs: int) -> Column:
+    return F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int) -> DataFrame:
     """(doc, words) against (query, words): the best k of each query by BM25, ties by document.
 
-    Counts are made per document before the shuffle by word; only words that are asked for go on.
+    Texts are shuffled once, by document; counts, scores and each task's best follow where they are, of words that are asked for.
     """
-    tf = docs.select(doc, F.explode("words").alias("w")).filter("w <> ''").groupBy(doc, "w").agg(F.count("*").alias("tf"))
-    length = tf.groupBy(doc).agg(F.sum("tf").alias("len"))
-    whole = length.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))  # one row
-    asked = queries.select(query, F.explode(F.array_distinct("words")).alias("w")).filter("w <> ''")
-    hits = tf.join(asked.select("w").distinct(), "w", "left_semi")
-    df = hits.groupBy("w").agg(F.count("*").alias("df"))
-    rows = hits.join(df, "w").join(length, doc).crossJoin(F.broadcast(whole))
-    part = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = rows.select(doc, "w", part.alias("part")).join(asked, "w").groupBy(query, doc).agg(F.sum("part").alias("score"))
-    best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 6)), doc)
-    return scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select(query, doc, F.round("score", 4).alias("score"))
+    docs = docs.select(F.col(doc).alias("doc"), "words")
+    n, mean, repeated = totals(docs)
+    asked = queries.select(query, F.explode(F.array_distinct("words")).alias("w")).filter("w <> ''").distinct()
+    each = dealt(docs, F.col("doc"), repeated).select("part", "doc", "size", F.explode("words").alias("w"))
+    hits = each.join(asked.select("w").distinct(), "w", "left_semi").groupBy("part", "doc", "size", "w").agg(F.count("*").alias("tf"))
+    heavy = asked.join(hits.groupBy("w").agg(F.count("*").alias("df")), "w").select(query, "w", weight(n).alias("weight"))
+    scored = hits.filter("doc is not null").select("part", "doc", "w", impact(mean).alias("impact")).join(heavy, "w").groupBy(query, "part", "doc").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 6)), "doc")
+    return scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= k).select(F.col("doc").alias(doc), query, F.round("score", 4).alias("score"))

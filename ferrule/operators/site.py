@@ -3,8 +3,10 @@
 Filters: conditions on fields (one phrase each, asked for or excluded) and kinds become one predicate on columns, and the
 documents for which it holds are the mask of both legs.
 
-Words: a positional index with impacts. A posting's impact is its BM25 part without the word's weight, so it doesn't depend
-on the query. Postings of a word stand in blocks by level of impact; a block knows its highest impact. A search
+Words: an index with impacts. A posting's impact is its BM25 part without the word's weight, so it doesn't depend on the
+query. Documents are dealt to parts of about `PART`; a part's postings of a word stand in blocks by level of impact, and a
+block knows its highest impact. Whole texts are shuffled once, to their parts; a search reads blocks of the words that it
+asks for. A search
 
 1. adds up the postings of each word's highest levels: the k-th best sum is what a document must reach,
 2. leaves out words that together can't reach it, and blocks whose best document can't,
@@ -12,7 +14,10 @@ on the query. Postings of a word stand in blocks by level of impact; a block kno
 4. scores what is left by all their words, and ranks.
 
 The result is the exact best k, as every step leaves out only what is below the k-th best sum. Nothing is ordered by word:
-levels come from the impact itself, and a level of many postings is dealt to several blocks by hash.
+levels come from the impact itself.
+
+Phrases: an index of places, each with the word that follows. Two words side by side are rare where each alone is not, so a
+phrase starts from few places, and nothing is shuffled to make the index.
 """
 
 from __future__ import annotations
@@ -24,12 +29,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrule.functions import text as tx
-from ferrule.operators import relational
-from ferrule.operators.search import K1, B
+from ferrule.operators import relational, search
 
 Save = Callable[[DataFrame, str], DataFrame]
 LEVELS = 16  # for each unit of impact
-BLOCK = 4096
+PART = 1024
 SLACK = 1e-6
 ALL = "all"
 MOST = 512
@@ -83,86 +87,94 @@ def predicate(conditions: Sequence[Condition], fields: Mapping[str, Column], kin
 
 @dataclass(frozen=True)
 class Index:
-    """postings (word, doc, tf, at, impact, level), words (word, weight, top), blocks (word, level, top, docs)."""
+    """blocks (word, level, part, top, n, docs), places (word, next, doc, row, at), and numbers of the whole; `None` is what was not built."""
 
-    postings: DataFrame
-    words: DataFrame
-    blocks: DataFrame
-    levels: DataFrame
+    blocks: DataFrame | None
+    places: DataFrame | None
+    docs: int
+    mean: float
     save: Save
 
 
-def build(docs: DataFrame, save: Save) -> Index:
+def build(docs: DataFrame, save: Save, impacts: bool = True, positions: bool = True) -> Index:
     """From (doc, words), whose order is kept as positions; empty words are none."""
-    each = docs.select("doc", F.posexplode("words").alias("at", "word")).filter("word <> ''")
-    tf = each.groupBy("doc", "word").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"))
-    tf = save(tf, "counts")
-    length = tf.groupBy("doc").agg(F.sum("tf").alias("size"))
-    whole = length.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"))  # one row
-    impact = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
-    rows = tf.join(length, "doc").crossJoin(F.broadcast(whole)).withColumn("impact", impact)
-    postings = save(rows.select("word", "doc", "tf", "at", "impact", F.floor(F.col("impact") * LEVELS).cast("int").alias("level")), "postings")
-    levels = save(postings.groupBy("word", "level").agg(F.count("*").alias("n"), F.max("impact").alias("top")), "levels")
-    df = levels.groupBy("word").agg(F.sum("n").alias("df"), F.max("top").alias("top"))
-    weight = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    words = save(df.crossJoin(F.broadcast(whole)).select("word", weight.alias("weight"), "top", "df"), "words")
-    dealt = postings.join(levels.select("word", "level", "n"), ["word", "level"])
-    part = F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / BLOCK))
-    blocks = dealt.groupBy("word", "level", part.alias("part")).agg(F.max("impact").alias("top"), F.collect_list(F.struct("doc", "impact")).alias("docs"))
-    return Index(postings, words, save(blocks, "blocks"), levels, save)
+    places = blocks = None
+    n, mean = 0, 1.0
+    if positions:
+        after = F.arrays_zip(F.col("words").alias("word"), F.slice("words", F.lit(2), F.greatest(F.size("words") - 1, F.lit(0))).alias("next"))
+        rows = docs.filter("doc is not null").select("doc", F.monotonically_increasing_id().alias("row"), after.alias("w")).select("doc", "row", F.posexplode("w").alias("at", "w"))
+        places = save(rows.select("w.word", "w.next", "doc", "row", "at").filter("word <> ''"), "places")
+    if impacts:
+        n, mean, repeated = search.totals(docs)
+        part = F.pmod(F.xxhash64("doc"), F.lit(n // PART + 1))
+        each = search.dealt(docs, part, repeated).select("part", "doc", "size", F.explode("words").alias("word")).filter("word <> ''")
+        tf = each.groupBy("part", "doc", "size", "word").agg(F.count("*").cast("int").alias("tf")).withColumn("impact", search.impact(mean))
+        level = F.floor(F.col("impact") * LEVELS).cast("int").alias("level")
+        blocks = tf.groupBy("part", "word", level).agg(F.max("impact").alias("top"), F.count("*").alias("n"), F.collect_list(F.struct("doc", "tf", "size")).alias("docs"))
+        blocks = save(blocks, "blocks")
+    return Index(blocks, places, n, mean, save)
 
 
 def phrases(index: Index, asked: DataFrame) -> DataFrame:
     """(query, doc) of documents that hold the phrase's words next to each other; asked is (query, words).
 
-    Starts from each phrase's rarest word; the places that it allows are then counted down by the others.
+    Starts from each phrase's rarest two words side by side; the places that they allow are then counted down by the others.
     """
-    each = asked.filter(F.size("words") > 0).select("query", F.size("words").alias("n"), F.posexplode("words").alias("place", "word"))
-    each = each.join(index.words.select("word", "df"), "word")
-    whole = each.groupBy("query").agg(F.count("*").alias("known"), F.min("n").alias("n"), F.min_by(F.struct("word", "place"), F.struct("df", "place")).alias("first")).filter("known = n")
-    places = index.postings.select("word", "doc", "at")
-    start = whole.select("query", "n", "first.*").join(places, "word").select("query", "n", "doc", F.explode("at").alias("at"), "place")
-    start = index.save(start.select("query", "n", "doc", (F.col("at") - F.col("place")).alias("begin")), "begins")
-    rest = each.select("query", "word", "place").join(start, "query").withColumn("want", F.col("begin") + F.col("place"))
-    hits = rest.join(places, ["word", "doc"]).filter(F.array_contains("at", F.col("want")))
-    return hits.groupBy("query", "doc", "begin", "n").agg(F.count("*").alias("found")).filter("found = n").select("query", "doc").distinct()
+    asked = asked.filter((F.size("words") > 0) & ~F.exists("words", lambda w: F.coalesce(w == "", F.lit(True))))
+    single = asked.filter(F.size("words") == 1).select("query", F.col("words")[0].alias("word"))
+    alone = index.places.join(single, "word").select("query", "doc")
+    pair = F.arrays_zip(F.slice("words", F.lit(1), F.size("words") - 1).alias("word"), F.slice("words", F.lit(2), F.size("words") - 1).alias("next"))
+    each = asked.filter(F.size("words") > 1).select("query", (F.size("words") - 1).alias("n"), F.posexplode(pair).alias("place", "p")).select("query", "n", "place", "p.*")
+    places = index.save(index.places.join(each.select("word", "next").distinct(), ["word", "next"], "left_semi"), "places-asked")
+    each = each.join(places.groupBy("word", "next").agg(F.count("*").alias("df")), ["word", "next"])
+    whole = each.groupBy("query").agg(F.count("*").alias("known"), F.min("n").alias("n"), F.min_by(F.struct("word", "next", "place"), F.struct("df", "place")).alias("first")).filter("known = n")
+    start = whole.select("query", "n", "first.*").join(places, ["word", "next"])
+    start = index.save(start.select("query", "n", "doc", "row", (F.col("at") - F.col("place")).alias("begin")), "begins")
+    rest = each.select("query", "word", "next", "place").join(start, "query").withColumn("at", F.col("begin") + F.col("place"))
+    hits = rest.join(places, ["word", "next", "doc", "row", "at"])
+    found = hits.groupBy("query", "doc", "row", "begin", "n").agg(F.count("*").alias("found")).filter("found = n").select("query", "doc")
+    return found.union(alone).distinct()
 
 
 def best_words(index: Index, queries: DataFrame, k: int, mask: DataFrame | None = None) -> DataFrame:
     """(query, doc, score): each query's k best documents of the mask by BM25, ties by document; queries are (query, words)."""
-    save = index.save
-    words = queries.select("query", F.explode(F.array_distinct("words")).alias("word")).filter("word <> ''").join(index.words, "word")
-    asked = save(words.select("query", "word", "weight", (F.col("weight") * F.col("top")).alias("most")), "asked")
+    save, impact = index.save, search.impact(index.mean)
+    words = queries.select("query", F.explode(F.array_distinct("words")).alias("word")).filter("word <> ''").distinct()
+    blocks = index.blocks.join(words.select("word").distinct(), "word", "left_semi")
+    levels = save(blocks.groupBy("word", "level").agg(F.sum("n").alias("n"), F.max("top").alias("top")), "levels")
+    known = levels.groupBy("word").agg(F.sum("n").alias("df"), F.max("top").alias("top")).select("word", search.weight(index.docs).alias("weight"), "top")
+    asked = save(words.join(known, "word").select("query", "word", "weight", (F.col("weight") * F.col("top")).alias("most")), "asked")
     allowed = lambda df: df if mask is None else df.join(mask.select("doc").distinct(), "doc", "left_semi")
     # 1. what a document must reach
     down = Window.partitionBy("word").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)  # a row a level
-    heads = index.levels.join(asked.select("word").distinct(), "word", "left_semi").withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).filter(F.col("before") < 2 * k)
-    seeds = index.postings.join(heads.select("word", "level"), ["word", "level"], "left_semi").select("word", "doc", "impact")
-    sums = allowed(asked.join(seeds, "word")).groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("impact")).alias("sum"))
+    heads = levels.withColumn("before", F.coalesce(F.sum("n").over(down), F.lit(0))).filter(F.col("before") < 2 * k)
+    seeds = index.blocks.join(heads.select("word", "level"), ["word", "level"], "left_semi").select("word", F.explode("docs").alias("d")).select("word", "d.*").filter("doc is not null")
+    sums = allowed(asked.join(seeds, "word").groupBy("query", "doc").agg(F.sum(F.col("weight") * impact).alias("sum")))
     best = Window.partitionBy("query").orderBy(F.desc("sum"))
     least = sums.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("query", (F.col("sum") - SLACK).alias("least"))
     asked = asked.join(least, "query", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
-    # 2. words and blocks that can't reach it
+    # 2. words and levels that can't reach it
     up = Window.partitionBy("query").orderBy("most", "word").rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy("query")
     asked = save(asked.withColumns({"rank_sum": F.sum("most").over(up), "total": F.sum("most").over(every)}), "bounds")
     needed = asked.filter("rank_sum >= least")
-    tops = needed.join(index.blocks.select("word", "level", "part", F.col("top").alias("high")), "word")
-    fits = F.col("weight") * F.col("high") + F.col("total") - F.col("most") >= F.col("least")
-    marked = save(tops.select("query", "word", "weight", "level", "part", (F.col("weight") * F.col("high")).alias("could"), fits.alias("fits")), "blocks-asked")
+    could = F.col("weight") * F.col("top")
+    fits = could + F.col("total") - F.col("most") >= F.col("least")
+    marked = save(needed.join(levels.select("word", "level", "top"), "word").select("query", "word", "weight", "level", "total", "most", "least", could.alias("could"), fits.alias("fits")), "levels-asked")
     skipped = marked.filter("not fits").groupBy("query", "word").agg(F.max("could").alias("rest"))
     unseen = asked.join(skipped, ["query", "word"], "left").withColumn("rest", F.when(F.col("rank_sum") >= F.col("least"), F.coalesce("rest", F.lit(0.0))).otherwise(F.col("most")))
-    unseen = unseen.select("query", "word", "weight", "rest", "least")
-    # 3. documents that can't
-    seen = marked.filter("fits").join(index.blocks.select("word", "level", "part", "docs"), ["word", "level", "part"])
-    seen = allowed(seen.select("query", "word", "weight", F.explode("docs").alias("d")).select("query", "word", "weight", "d.doc", "d.impact"))
-    gain = seen.join(unseen.select("query", "word", "rest"), ["query", "word"]).withColumn("gain", F.col("weight") * F.col("impact") - F.col("rest"))
+    unseen = save(unseen.select("query", "word", "rest", "least"), "unseen")
+    # 3. documents that can't, from blocks that can
+    read = marked.filter("fits").join(unseen.select("query", "word", "rest"), ["query", "word"]).drop("could", "fits")
+    seen = index.blocks.join(read, ["word", "level"]).filter(fits).select("query", "weight", "rest", F.explode("docs").alias("d")).select("query", "weight", "rest", "d.*").filter("doc is not null")
     rests = unseen.groupBy("query").agg(F.sum("rest").alias("rests"), F.first("least").alias("least"))
-    could = gain.groupBy("query", "doc").agg(F.sum("gain").alias("gain")).join(rests, "query").filter("gain + rests >= least")
-    chosen = save(could.select("query", "doc"), "candidates")
-    # 4. scores of what is left
-    full = chosen.join(asked.select("query", "word", "weight"), "query").join(index.postings.select("word", "doc", "impact"), ["word", "doc"])
-    scored = full.groupBy("query", "doc").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))
+    gain = seen.groupBy("query", "doc").agg(F.sum(F.col("weight") * impact - F.col("rest")).alias("gain"))
+    chosen = save(allowed(gain.join(rests, "query").filter("gain + rests >= least").select("query", "doc")), "candidates")
+    # 4. scores of what is left, where a document's postings meet its queries
+    wanted = chosen.groupBy("doc").agg(F.collect_set("query").alias("of")).hint("shuffle_hash")
+    postings = blocks.select("word", F.explode("docs").alias("d")).select("word", "d.doc", "d.tf", "d.size")
+    full = postings.join(wanted, "doc").join(asked.select("query", "word", "weight"), "word").filter(F.array_contains("of", F.col("query")))
+    scored = full.groupBy("query", "doc").agg(F.sum(F.col("weight") * impact).alias("score"))
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "doc")
     return scored.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
@@ -171,9 +183,9 @@ def hybrid(index: Index, vectors: DataFrame, queries: DataFrame, mask: DataFrame
     """(query, doc, rrf): both legs over the mask, fused by reciprocal ranks. vectors (doc, q), queries (query, words, q)."""
     inside = vectors.join(mask.select("doc").distinct(), "doc", "left_semi").select(F.col("doc").alias("vec_id"), "q")
     near = relational.top_k(inside, queries.filter("q is not null").select(F.col("query").alias("vec_id"), "q"), per_leg)
-    said = best_words(index, queries.select("query", "words"), per_leg, mask)
+    by_words = best_words(index, queries.select("query", "words"), per_leg, mask)
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "doc")
-    ranked = said.select("query", "doc", F.row_number().over(order).alias("rank"))
+    ranked = by_words.select("query", "doc", F.row_number().over(order).alias("rank"))
     both = ranked.unionByName(near.select(F.col("query_id").alias("query"), F.col("vec_id").alias("doc"), "rank"))
     fused = both.groupBy("query", "doc").agg(F.round(F.sum(1 / (base + F.col("rank"))), 12).alias("rrf"))
     top = Window.partitionBy("query").orderBy(F.desc("rrf"), "doc")

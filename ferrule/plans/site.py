@@ -25,8 +25,8 @@ def words(text: str):
     return F.split(F.lower(text), " ")
 
 
-def indexed(t: Tables, name: str) -> site.Index:
-    return site.build(t.documents.select(F.col("doc_id").alias("doc"), words("text").alias("words")), shared.tables(t.spark, name))
+def indexed(t: Tables, name: str, **what: bool) -> site.Index:
+    return site.build(t.documents.select(F.col("doc_id").alias("doc"), words("text").alias("words")), shared.tables(t.spark, name), **what)
 
 
 def asked(t: Tables) -> DataFrame:
@@ -44,7 +44,7 @@ def mask(t: Tables) -> DataFrame:
 @query(f"WITH {PARTS} SELECT item_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s) WHERE r <= 10")
 def bm25_pruned(t: Tables) -> DataFrame:
     """The best ten documents of all languages for each item, with blocks and words left out by their bounds."""
-    found = site.best_words(indexed(t, "site-words"), asked(t), 10)
+    found = site.best_words(indexed(t, "site-words", positions=False), asked(t), 10)
     return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 4).alias("score"))
 
 
@@ -58,7 +58,7 @@ SELECT item_id, doc_id FROM p JOIN documents ON n >= 4 AND contains(' ' || lower
 def phrase_hits(t: Tables) -> DataFrame:
     """Documents with the second to the fourth word of an item side by side, by positions."""
     phrase = asked(t).filter(F.size("words") >= 4).select("query", F.slice("words", 2, 3).alias("words"))
-    return site.phrases(indexed(t, "site-phrases"), phrase).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"))
+    return site.phrases(indexed(t, "site-phrases", impacts=False), phrase).select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"))
 
 
 @query(f"""WITH {MASK}, {PARTS}, l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS r FROM s WHERE doc_id IN (SELECT doc_id FROM m)),
@@ -71,5 +71,5 @@ def site_search(t: Tables) -> DataFrame:
     """All items by words and vectors, over the filter's documents alone."""
     q = t.embeddings.select(F.col("vec_id").alias("doc"), vectors.encode_q15(F.col("embedding")).alias("q"))
     queries = asked(t).join(q.withColumnRenamed("doc", "query"), "query", "left")
-    found = site.hybrid(indexed(t, "site-both"), q, queries, mask(t))
+    found = site.hybrid(indexed(t, "site-both", positions=False), q, queries, mask(t))
     return found.select(F.col("query").alias("item_id"), F.col("doc").alias("doc_id"), F.round("rrf", 10).alias("rrf"), "rank")

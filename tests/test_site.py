@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import site
+from ferrule.operators import search, site
 from ferrule.operators.search import K1, B
 from ferrule.sources import shared
 
@@ -95,3 +95,28 @@ def test_filter_tree(spark):
         site.predicate([site.Condition("name", ())], fields)
     theories = df.select("i", site.theories_of(F.col("kind") == "inf", F.col("theories"), F.concat(F.lit("Own."), "kind")).alias("t")).orderBy("i").collect()
     assert [r["t"] for r in theories] == [["A B"], ["Own.sup"], [], ["Own.max"]]
+
+
+def test_an_index_is_one_table_and_rows_of_a_document_stay_apart(spark):
+    """Words with the separator and repeated documents count; a phrase doesn't go from one row to another."""
+    docs = [(1, ["a", "b"]), (1, ["x", "c"]), (2, ["a\x01", "c", "a"]), (3, ["a", "c", "", "b"]), (None, ["a", "c"])]
+    frame, kept = spark.createDataFrame(docs, "doc long, words array<string>"), []
+    save = shared.tables(spark, "site-rows")
+
+    def watched(df, name):
+        kept.append(name)
+        return save(df, name)
+
+    words = site.build(frame, watched, positions=False)
+    assert kept == ["blocks"]
+    asked = [(1, ["a", "c"]), (2, ["a\x01"]), (3, ["b"])]
+    queries = spark.createDataFrame(asked, "query long, words array<string>")
+    merged = [(1, ["a", "b", "x", "c"]), *docs[2:]]
+    for got in (site.best_words(words, queries, 5).collect(), search.bm25(frame, queries, "doc", "query", 5).collect()):
+        for q, w in asked:
+            plain = {i: s for i, s in scores(merged, w).items() if i is not None}
+            mine = {r["doc"]: r["score"] for r in got if r["query"] == q}
+            assert mine.keys() == plain.keys() and all(math.isclose(mine[i], plain[i], abs_tol=1e-4) for i in plain)
+    places = site.build(frame, watched, impacts=False)
+    assert kept.count("places") == 1
+    assert {(r["query"], r["doc"]) for r in site.phrases(places, queries).collect()} == {(1, 3), (2, 2), (3, 1), (3, 3)}
