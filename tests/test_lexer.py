@@ -64,3 +64,16 @@ def test_ranges_cover_the_class():
 def test_sequences_in_texts(spark):
     df = spark.createDataFrame([("sorted_wrt R xs", "wrt R"), ("sorted_wrt R xs", "R wrt"), ("a", "_"), (None, "a")], "hay string, needle string")
     assert [r[0] for r in df.select(lexer.sequence_in(df.hay, df.needle)).collect()] == [True, False, False, False]
+
+
+def test_batches_are_worked_on_in_pieces():
+    import pyarrow as pa
+
+    texts = pa.array(["a_b c" * 40, None, "", "x" * 5000, *["\\<alpha> y_z"] * 300])
+    parts = list(lexer.pieces(texts, 500))
+    assert pa.concat_arrays(parts).to_pylist() == texts.to_pylist()
+    assert max(sum(len(t or "") for t in p.to_pylist()) for p in parts if "x" * 5000 not in p.to_pylist()) <= 1000 and len(parts) > 5
+    run = lexer.default_lexer().subtokens
+    kind = pa.list_(pa.string())
+    assert lexer.by_pieces(run, texts, kind).to_pylist() == run(texts).to_pylist()
+    assert lexer.by_pieces(run, texts.slice(0, 0), kind).to_pylist() == []
