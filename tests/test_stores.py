@@ -238,3 +238,14 @@ def test_a_passing_failure_leaves_a_table(spark, tmp_path):
     with pytest.raises(Exception, match="(?i)no such|not exist|not found"):
         snapshot.set_aside(spark, str(tmp_path / "absent"), "a long")
     assert not list(tmp_path.glob("absent.corrupt*"))
+
+
+def test_records_of_a_large_batch_come_back(spark):
+    """More rows than are Python objects at once, in one batch, with tombstones and damaged bytes between them."""
+    n = 3 * codec.ROWS + 1
+    values = {"kind": F.lit(2), "name": F.concat(F.lit("n"), F.col("id")), "version": F.col("id")}
+    fields = F.struct(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in codec.RECORD))
+    body = F.when(F.col("id") % 7 == 0, F.unhex(F.lit(""))).when(F.col("id") % 5 == 0, F.unhex(F.lit("c1ff"))).otherwise(codec.encode(fields))
+    store = spark.range(n).coalesce(1).select(F.encode(F.lpad(F.col("id").cast("string"), 20, "0"), "utf-8").alias("uk"), body.alias("value"))
+    got = sorted((r["version"], r["name"]) for r in codec.records(store).select("version", "name").collect())
+    assert got == [(i, f"n{i}") for i in range(n) if i % 7 and i % 5]
