@@ -145,10 +145,16 @@ def set_containment(t: Tables) -> DataFrame:
 INDEXED = "SELECT o_orderkey, CASE WHEN o_orderkey % 13 <> 0 THEN l_suppkey END AS s FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey"
 
 
+def size(t: Tables) -> int | None:
+    """Tasks for the index of orders; the rows stand in the files' footers."""
+    return index.tasks(t.spark, t.orders.count() + t.lineitem.count())
+
+
 def entries(t: Tables) -> DataFrame:
     """Orders by supplier, as often as lines say so; every thirteenth has an empty list of constituents and is always available."""
+    n = size(t)
     lines = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
-    rows = t.orders.select("o_orderkey").join(lines, "o_orderkey", "left")
+    rows = index.dealt(t.orders.select("o_orderkey"), "o_orderkey", n).join(index.dealt(lines, "o_orderkey", n), "o_orderkey", "left")
     return rows.select("o_orderkey", F.when(F.col("o_orderkey") % 13 != 0, F.col("l_suppkey")).alias("part"))
 
 
@@ -170,16 +176,16 @@ def index_rebuild(t: Tables) -> DataFrame:
 SELECT o_orderkey, s AS part FROM (SELECT * FROM i UNION SELECT * FROM a) WHERE o_orderkey % 7 <> 2""")
 def index_update(t: Tables) -> DataFrame:
     """Entries added twice stand once; removed keys lose all their entries."""
-    c = F.col("c_custkey")
+    c, n = F.col("c_custkey"), size(t)
     more = t.customer.filter(c % 5 < 2).select(c.alias("o_orderkey"), F.when(c % 5 == 0, F.array(F.col("c_nationkey").cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("s"))
-    both = index.add(index.add(postings(t), more, "o_orderkey", "s"), more, "o_orderkey", "s")
-    return index.remove(both, t.orders.filter("o_orderkey % 7 = 2").select("o_orderkey").union(t.customer.filter("c_custkey % 7 = 2").select("c_custkey")), "o_orderkey")
+    both = index.add(index.add(postings(t), more, "o_orderkey", "s", n), more, "o_orderkey", "s", n)
+    return index.remove(both, t.orders.filter("o_orderkey % 7 = 2").select("o_orderkey").union(t.customer.filter("c_custkey % 7 = 2").select("c_custkey")), "o_orderkey", n)
 
 
 @query(f"""WITH i AS (SELECT DISTINCT o_orderkey FROM ({INDEXED}) WHERE o_orderkey % 3 = 0), r AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)
 SELECT coalesce(i.o_orderkey, r.o_orderkey) AS o_orderkey, CASE WHEN r.o_orderkey IS NULL THEN 'dangling' ELSE 'unindexed' END AS state FROM i FULL JOIN r USING (o_orderkey) WHERE i.o_orderkey IS NULL OR r.o_orderkey IS NULL""")
 def index_reconcile(t: Tables) -> DataFrame:
-    return index.reconcile(postings(t).filter("o_orderkey % 3 = 0"), t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey"), "o_orderkey")
+    return index.reconcile(postings(t).filter("o_orderkey % 3 = 0"), t.orders.filter("o_orderkey % 2 = 0").select("o_orderkey"), "o_orderkey", size(t))
 
 
 @query("SELECT l_suppkey, count(DISTINCT l_orderkey) AS n, min(l_orderkey) AS low, max(l_orderkey) AS high FROM lineitem GROUP BY l_suppkey")

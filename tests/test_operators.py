@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.operators import index, relational
+from ferrule.plans import queries
 from ferrule.sources import shared
 from ferrule.streaming import incremental
 
@@ -66,6 +67,17 @@ def test_top_k_against_all_scores(spark, k):
     assert k or not got
 
 
+def most_rows(df):
+    """Of a task of the result, as Spark plans it."""
+    return max(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+
+
+def test_index_update_holds_few_rows_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(index, "TASK", 500, raising=False)
+    out = queries.QUERIES["index_update"](spark, "/root/testdata/sf0.01")
+    assert out.count() == 48119 and most_rows(out) < 1000
+
+
 def test_index_keeps_what_is_always_available(spark):
     rows = spark.createDataFrame([(1, [5, 6, 5]), (2, []), (3, None), (4, [7])], "key long, parts array<long>")
     built = index.build(rows, "key", "parts")
