@@ -78,6 +78,12 @@ def test_index_update_holds_few_rows_in_a_task(spark, monkeypatch):
     assert out.count() == 48119 and most_rows(out) < 1000
 
 
+def test_index_candidates_holds_few_rows_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(index, "TASK", 500, raising=False)
+    out = queries.QUERIES["index_candidates"](spark, "/root/testdata/sf0.01")
+    assert out.count() == 13193 and most_rows(out) < 1000
+
+
 def test_index_keeps_what_is_always_available(spark):
     rows = spark.createDataFrame([(1, [5, 6, 5]), (2, []), (3, None), (4, [7])], "key long, parts array<long>")
     built = index.build(rows, "key", "parts")
