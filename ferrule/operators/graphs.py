@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 
 def closure(edges: DataFrame, start: DataFrame, save: Callable[[DataFrame, str], DataFrame], enough: int = 300) -> DataFrame:
@@ -28,28 +27,37 @@ def merkle(nodes: DataFrame, edges: DataFrame, save: Callable[[DataFrame, str],
     """(node, hash): 16 bytes of the node's name, content and its parents' hashes in order; the lowest bit of the first byte is off.
 
     nodes (node, name, content), edges (node, place, parent). A level is done when all parents are; a cycle is an error.
+    A level's hashes meet only the edges that still wait for one, by sort-merge joins: no level goes through the driver.
     """
-    todo, done, level = nodes, None, 0
-    while True:
-        rows = edges.join(todo.select("node"), "node", "left_semi")
-        if done is not None:
-            rows = rows.join(done.select(F.col("node").alias("parent"), "hash"), "parent", "left")
-        else:
-            rows = rows.withColumn("hash", F.lit(None).cast(BinaryType()))
-        parents = rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("place", F.lower(F.hex("hash")).alias("h")))).alias("p"), F.bool_and(F.col("hash").isNotNull()).alias("ready"))
-        ready = todo.join(parents, "node", "left").filter(F.coalesce("ready", F.lit(True)))
-        text = F.concat("name", F.lit("\0"), F.coalesce("content", F.lit("")), F.lit("\0"), F.coalesce(F.array_join(F.col("p.h"), ","), F.lit("")))
+
+    def hashed(ready: DataFrame) -> DataFrame:
+        text = F.concat("name", F.lit("\0"), F.coalesce("content", F.lit("")), F.lit("\0"), F.array_join(F.col("p.h"), ","))
         raw = F.substring(F.sha2(text, 256), 1, 32)
         first = F.conv(F.substring(raw, 1, 2), 16, 10).cast("int")
         even = F.concat(F.lpad(F.hex((first - first % 2).cast("long")), 2, "0"), F.substring(raw, 3, 30))
-        step = save(ready.select("node", F.unhex(even).alias("hash")), f"level-{level}")
-        if not step.limit(1).count():
-            if todo.limit(1).count():
-                raise ValueError("the graph has a cycle")
-            return done if done is not None else step
-        done = step if done is None else done.unionByName(step)
-        todo = nodes.join(done.select("node"), "node", "left_anti")
+        return ready.select("node", F.unhex(even).alias("hash"))
+
+    rows = edges.join(nodes.select("node").hint("merge"), "node", "left_semi").select("node", "place", "parent")
+    wait = rows.withColumn("h", F.lit(None).cast("string"))
+    start = nodes.join(edges.select("node").hint("merge"), "node", "left_anti")
+    new = save(hashed(start.withColumn("p", F.array().cast("array<struct<h:string>>"))), "level-0")
+    done, level = new, 0
+    while True:
         level += 1
+        came = new.select(F.col("node").alias("parent"), F.lower(F.hex("hash")).alias("_h"))
+        met = wait.filter("h is null").drop("h").join(came.hint("merge"), "parent", "left").select("node", "place", "parent", F.col("_h").alias("h"))
+        p = F.array_sort(F.collect_list(F.struct("place", "h", "parent"))).alias("p")
+        by_node = save(met.unionByName(wait.filter("h is not null")).groupBy("node").agg(p, F.bool_and(F.col("h").isNotNull()).alias("ready")), f"waiting-{level}")
+        ready, left = by_node.agg(F.count_if("ready"), F.count_if(~F.col("ready"))).first()
+        if not ready:
+            if left:
+                raise ValueError("the graph has a cycle")
+            return done
+        new = save(hashed(by_node.filter("ready").join(nodes.hint("merge"), "node")), f"level-{level}")
+        done = done.unionByName(new)
+        if not left:
+            return done
+        wait = by_node.filter(~F.col("ready")).select("node", F.explode("p").alias("e")).select("node", "e.place", "e.parent", "e.h")
 
 
 def new_facts(local: DataFrame, parents: list[DataFrame], key: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Codec, snapshots, providers and walks on small fixtures."""
 
+import hashlib
 import json
 
 import pytest
@@ -103,6 +104,26 @@ def test_walks(spark):
         graphs.merkle(nodes, links.union(spark.createDataFrame([(1, 0, 3)], links.schema)), shared.tables(spark, "m3"))
 
 
+def test_merkle_sends_no_level_through_the_driver(spark):
+    parents = {n: [n // 2, n // 3, n // 2][: n % 4] for n in range(1, 40)} | {0: []}
+    nodes = spark.createDataFrame([(n, f"n{n}", f"c{n}" if n % 5 else None) for n in parents], "node long, name string, content string")
+    links = spark.createDataFrame([(n, i, p) for n, ps in parents.items() for i, p in enumerate(ps)] + [(99, 0, 1)], "node long, place int, parent long")
+    plans, put = [], shared.tables(spark, "m4")
+
+    def save(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name)
+
+    expected = {}
+    for n in sorted(parents):
+        text = "\0".join([f"n{n}", f"c{n}" if n % 5 else "", ",".join(expected[p].hex() for p in parents[n])])
+        raw = bytearray(hashlib.sha256(text.encode()).digest()[:16])
+        raw[0] -= raw[0] % 2
+        expected[n] = bytes(raw)
+    assert {r["node"]: bytes(r["hash"]) for r in graphs.merkle(nodes, links, save).collect()} == expected
+    assert not any("Broadcast" in x for x in plans)
+
+
 def test_guards(spark):
     view = spark.createDataFrame([(1, "a")], "uk long, name string")
     with pytest.raises(ValueError, match="embedded"):
