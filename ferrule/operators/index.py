@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TASK = 500_000
+LOADED = 1_000_000
 
 
 def tasks(spark: SparkSession, rows: int) -> int | None:
@@ -35,9 +36,14 @@ def of_entries(entries: DataFrame, key: str, part: str) -> DataFrame:
 
 
 def candidates(index: DataFrame, loaded: DataFrame) -> DataFrame:
-    """Keys with a loaded constituent, and those always available."""
+    """Keys with a loaded constituent, and those always available. Up to `LOADED` constituents, counted first, go to all tasks,
+    so that the index is read once and stays dealt by key; a longer list meets the index by constituent, as Spark plans it."""
     key = next(c for c in index.columns if c != "part")
-    some = index.join(loaded.select("part").distinct(), "part", "left_semi").select(key)
+    known, mark = loaded.select("part").distinct(), f"{key}_loaded"
+    if known.count() <= LOADED:
+        marked = index.join(F.broadcast(known.withColumn(mark, F.lit(True))), "part", "left")
+        return marked.filter(F.col(mark) | F.col("part").isNull()).select(key).distinct()
+    some = index.join(known, "part", "left_semi").select(key)
     return some.union(index.filter("part is null").select(key)).distinct()
 
 

@@ -84,6 +84,26 @@ def test_index_candidates_holds_few_rows_in_a_task(spark, monkeypatch):
     assert out.count() == 13193 and most_rows(out) < 1000
 
 
+def test_index_candidates_stays_dealt_where_spark_broadcasts_nothing(spark, monkeypatch):
+    monkeypatch.setattr(index, "TASK", 500)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = queries.QUERIES["index_candidates"](spark, "/root/testdata/sf0.01")
+        assert out.count() == 13193 and most_rows(out) < 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [0, 1, 2, 3])
+def test_index_candidates_by_short_and_long_lists(spark, monkeypatch, most):
+    monkeypatch.setattr(index, "LOADED", most, raising=False)
+    entries = spark.createDataFrame([(1, 5), (1, 6), (1, 6), (2, None), (3, 7), (4, 5), (None, 6), (5, 9)], "loaded long, part long")
+    for parts, keys in (((6, 6, None), {1, 2, None}), ((), {2}), ((5, 9), {1, 2, 4, 5}), ((None,), {2})):
+        got = [r[0] for r in index.candidates(entries, spark.createDataFrame([(p,) for p in parts], "part long")).collect()]
+        assert len(got) == len(keys) and set(got) == keys
+
+
 def test_index_keeps_what_is_always_available(spark):
     rows = spark.createDataFrame([(1, [5, 6, 5]), (2, []), (3, None), (4, [7])], "key long, parts array<long>")
     built = index.build(rows, "key", "parts")
