@@ -17,8 +17,8 @@ def said(words: str | Column) -> Column:
 
 def totals(docs: DataFrame) -> tuple[int, float, bool]:
     """Of (doc, words): documents with a word, their mean length, and whether a document has several rows."""
-    sizes = docs.select("doc", said("words").alias("size")).filter("size > 0").groupBy("doc").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
-    n = sizes.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), F.max("rows").alias("rows")).first()
+    sizes = docs.select("doc", said("words").alias("size")).groupBy("doc").agg(F.sum("size").alias("size"), F.count_if(F.col("size") > 0).alias("rows"))
+    n = sizes.filter("rows > 0").agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), F.max("rows").alias("rows")).first()
     return n["docs"], n["mean"] or 1.0, (n["rows"] or 0) > 1
 
 
@@ -26,11 +26,11 @@ def dealt(docs: DataFrame, by: Column, repeated: bool) -> DataFrame:
     """(part, doc, words, size): a row for each document, dealt by `by`, so that what is grouped by it needs no other shuffle.
 
     A null doc is one document, which counts but is never found. Words travel as one text; those of a row in which a word
-    holds the separator stay an array.
+    holds the separator stay an array. Texts go as they are: a filter on their words would cut them up once more, as would one
+    that Spark derives from `explode`, which is why callers take `explode_outer`.
     """
-    rows = docs.filter(said("words") > 0)
     held = F.array_join("words", "", "").contains(SEP)
-    sent = rows.select(by.alias("part"), "doc", F.when(~held, F.array_join("words", SEP, "")).alias("text"), F.when(held, F.col("words")).alias("list")).repartition("part")
+    sent = docs.select(by.alias("part"), "doc", F.when(~held, F.array_join("words", SEP, "")).alias("text"), F.when(held, F.col("words")).alias("list")).repartition("part")
     out = sent.select("part", "doc", F.coalesce("list", F.split("text", SEP)).alias("words"))
     if repeated:
         out = out.groupBy("part", "doc").agg(F.flatten(F.collect_list("words")).alias("words"))
@@ -54,7 +54,7 @@ def bm25(docs: DataFrame, queries: DataFrame, doc: str, query: str, k: int) -> D
     docs = docs.select(F.col(doc).alias("doc"), "words")
     n, mean, repeated = totals(docs)
     asked = queries.select(query, F.explode(F.array_distinct("words")).alias("w")).filter("w <> ''").distinct()
-    each = dealt(docs, F.col("doc"), repeated).select("part", "doc", "size", F.explode("words").alias("w"))
+    each = dealt(docs, F.col("doc"), repeated).select("part", "doc", "size", F.explode_outer("words").alias("w"))
     hits = each.join(asked.select("w").distinct(), "w", "left_semi").groupBy("part", "doc", "size", "w").agg(F.count("*").alias("tf"))
     heavy = asked.join(hits.groupBy("w").agg(F.count("*").alias("df")), "w").select(query, "w", weight(n).alias("weight"))
     scored = hits.filter("doc is not null").select("part", "doc", "w", impact(mean).alias("impact")).join(heavy, "w").groupBy(query, "part", "doc").agg(F.sum(F.col("weight") * F.col("impact")).alias("score"))

@@ -120,3 +120,60 @@ def test_an_index_is_one_table_and_rows_of_a_document_stay_apart(spark):
     places = site.build(frame, watched, impacts=False)
     assert kept.count("places") == 1
     assert {(r["query"], r["doc"]) for r in site.phrases(places, queries).collect()} == {(1, 3), (2, 2), (3, 1), (3, 3)}
+
+
+def shuffled(spark):
+    """Rows that all stages so far have written for shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_search_leaves_the_index_where_it_lies(spark, built):
+    """Also where Spark broadcasts nothing by itself: only postings that are asked for are shuffled, and few times."""
+    docs, index, _ = built
+    queries = spark.createDataFrame([(1, ["w3", "w7"]), (2, ["w7", "w11", "nowhere"])], "query long, words array<string>")
+    mask = spark.createDataFrame([(i,) for i, _ in docs if i % 3], "doc long")
+    postings = sum(len({w for w in d if w}) for _, d in docs)
+    before, began = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert site.best_words(index, queries, 5, mask).count() == 10
+        assert shuffled(spark) - began < postings / 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize(("asked", "sent", "pairs"), [(10**6, 10**6, 100), (0, 0, 10**6)])
+def test_best_words_within_other_limits(spark, built, monkeypatch, asked, sent, pairs):
+    """Whatever goes to all tasks, and whether bounds leave out much (few rare words, k of 2) or nothing (k of 500)."""
+    for name, value in (("ASKED", asked), ("SENT", sent), ("PAIRS", pairs)):
+        monkeypatch.setattr(site, name, value, raising=False)
+    docs, index, kept = built
+    rare = [(1, ["w3", "the"]), (2, ["w150", "of", "the"]), (None, ["w9"])]
+    long = [(q, [f"w{i}" for i in range(q, 60, 5)] + ["the", "of", "a"]) for q in range(3)]
+    mask = [i for i, _ in docs if i % 3]
+    for queries, k, allowed in ((rare, 2, mask), (long, 500, mask)):
+        m = spark.createDataFrame([(i,) for i in [*allowed, *allowed[:9], None]], "doc long")
+        got = site.best_words(index, spark.createDataFrame(queries, "query long, words array<string>"), k, m).collect()
+        if sent:
+            assert ("score" in kept["candidates"].columns) == (k == 500)
+        for q, words in queries:
+            plain = {i: s for i, s in scores(docs, words).items() if i in allowed}
+            best = sorted(plain, key=lambda i: (-round(plain[i], 6), i))[:k]
+            mine = {r["doc"]: r["score"] for r in got if r["query"] == q}
+            assert len(mine) == sum(r["query"] == q for r in got)
+            assert sorted(mine, key=lambda i: (-round(mine[i], 6), i)) == best
+            assert all(math.isclose(mine[i], plain[i], rel_tol=1e-9) for i in best)
+
+
+def test_a_search_of_nothing(spark):
+    save = shared.tables(spark, "site-nothing")
+    none, some = (spark.createDataFrame(rows, "doc long, words array<string>") for rows in ([], [(1, ["a", ""]), (2, None), (None, ["a"])]))
+    ask = lambda *words: spark.createDataFrame([(1, list(w)) for w in words], "query long, words array<string>")
+    assert site.best_words(site.build(none, save, positions=False), ask(["a"]), 3).count() == 0
+    index = site.build(some, save, positions=False)
+    assert [r["doc"] for r in site.best_words(index, ask(["a", ""]), 3).collect()] == [1]
+    assert site.best_words(index, ask([""], []), 3).count() == 0
+    assert site.best_words(index, ask(["a"]), 3, none.select("doc")).count() == 0
