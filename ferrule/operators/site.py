@@ -111,7 +111,7 @@ def build(docs: DataFrame, save: Save, impacts: bool = True, positions: bool = T
         places = save(rows.select("w.word", "w.next", "doc", "row", "at").filter("word <> ''"), "places")
     if impacts:
         n, mean, repeated = search.totals(docs)
-        each = search.dealt(docs, F.col("doc"), repeated).select("part", "doc", "size", F.explode_outer("words").alias("word")).filter("word <> ''")
+        each = search.dealt(docs, F.col("doc"), repeated, n * mean).select("part", "doc", "size", F.explode_outer("words").alias("word")).filter("word <> ''")
         tf = each.groupBy("part", "doc", "size", "word").agg(F.count("*").cast("int").alias("tf"))
         level = F.floor(search.impact(mean) * LEVELS).cast("int").alias("level")
         blocks = save(tf.select("word", level, "doc", "tf", "size"), "blocks")

@@ -177,3 +177,17 @@ def test_a_search_of_nothing(spark):
     assert [r["doc"] for r in site.best_words(index, ask(["a", ""]), 3).collect()] == [1]
     assert site.best_words(index, ask([""], []), 3).count() == 0
     assert site.best_words(index, ask(["a"]), 3, none.select("doc")).count() == 0
+
+
+def test_an_index_is_made_in_tasks_of_few_words(spark, built, monkeypatch):
+    monkeypatch.setattr(search, "WORDS", 500, raising=False)
+    docs, index, _ = built
+    save, most = shared.tables(spark, "site-tasks"), []
+
+    def watched(df, name):
+        most.append(df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return save(df, name)
+
+    again = site.build(spark.createDataFrame(docs, "doc long, words array<string>"), watched, positions=False)
+    assert most[0] < 1000
+    assert sorted(map(tuple, again.blocks.collect())) == sorted(map(tuple, index.blocks.collect()))
